@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import mixing, quality, secrets
+from strandloom.llm import decontaminate, jaccard, mixing, quality, secrets
 from strandloom.llm.storage import durable, read
 
 
@@ -14,8 +14,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by shingles the one of least id stays."""
+    return jaccard.deduplicate(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars follows it."""
+    """Secrets are masked in the text."""
     return secrets.redact(docs)
 
 
@@ -24,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality", keep_quality), ("secrets", redact_secrets), ("mixing", mix_sources)]
+STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("secrets", redact_secrets), ("mixing", mix_sources)]
 ORACLE_SQL = None
 
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import hamming, html, langid, mixing, pii, quality, secrets, urlrules
+from strandloom.llm import decontaminate, hamming, html, jaccard, langid, mixing, pii, quality, secrets, urlrules
 from strandloom.llm.storage import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -47,8 +51,12 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(read(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_surrogates, op5_mixing, op6_hamming_top_k, op7_html_text, op8_language, op9_url_rules)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_quality, op4_surrogates, op5_mixing, op6_hamming_top_k, op7_html_text, op8_language, op9_url_rules, op10_decontaminate)}
 
 
 def oracles() -> dict[str, str]:

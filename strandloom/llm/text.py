@@ -13,8 +13,8 @@ import pandas as pd
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 CHUNK_BYTES = 2 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -36,6 +36,27 @@ def weights(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(step) + np.uint64(start & (2**64 - 1))) | np.uint64(1)
 
 
+def _hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, eight bytes at a time; ``low`` has eight bytes more than the last range."""
+    eight = np.ndarray((len(low) - 7,), np.dtype("<u8"), buffer=low, strides=(1,))
+    size = end - start
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at, left, place = start, size, None
+    while len(at):
+        piece = eight[at] & _MASK[np.minimum(left, 8)]
+        if place is None:
+            out = mix(out ^ piece)
+        else:
+            out[place] = mix(out[place] * np.uint64(0xC2B2AE3D27D4EB4F) ^ piece)
+        more = np.flatnonzero(left > 8)
+        place = more if place is None else place[more]
+        at, left = at[more] + 8, left[more] - 8
+    return out
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
     """Words of several texts: ``hash``, byte ``start``/``end`` within ``buf``, and ``bounds`` of each text's words."""
 
@@ -44,18 +65,12 @@ class Words:
         self.buf = buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(parts) else np.zeros(0, np.int64)
-        word = ~_SPACE[buf]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+        word = np.zeros(len(buf) + 1, bool)
+        np.take(_WORD, buf, out=word[1:])
+        edge = np.flatnonzero(word[1:] != word[:-1])  # the last byte is a separator
         self.start, self.end = edge[::2], edge[1::2]
         self.bounds = np.append(np.searchsorted(self.start, self.text_start), len(self.start))
-        if len(self.start):
-            size = self.end - self.start
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            place = np.arange(int(size.sum())) - np.repeat(first, size)
-            letters = _LOWER[buf[word]].astype(np.uint64) + np.uint64(1)
-            self.hash = mix(np.add.reduceat(letters * weights(int(size.max()), 1)[place], first) + size.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = _hashes(_LOWER[np.concatenate([buf, np.zeros(8, np.uint8)])], self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.text_start)
