@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from strandloom.plans import base, counting, graphs, scalars  # noqa: F401  they register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
