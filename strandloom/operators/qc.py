@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import kmers
+from strandloom.sources.durable import durable
 
 CONTEXT, LEAST_RUN, MOST_COUNT, LEAST_RATIO, LEAST_SIDE = 51, 6, 10, 0.1, 5
 
@@ -53,10 +54,14 @@ def _variants(reads: DataFrame) -> DataFrame:
 def homopolymer_check(reads: DataFrame) -> DataFrame:
     """id, size, own, best, passed: the run's own length must be the most frequent of its variants, or frequent enough."""
     rows = _variants(reads)
-    counts = None
+    rows = durable(rows, "variants")
+    wanted = rows.select(dna.canonical("kmer").alias("canon")).distinct()
+    found = None
     for k in range(CONTEXT - 2, CONTEXT + 3):
-        part = kmers.strand_counts(reads, k).select("canon", (F.col("fw") + F.col("rv")).alias("n"))
-        counts = part if counts is None else counts.unionAll(part)
+        part = kmers.explode(reads, k).select("kmer", dna.revcomp("kmer").alias("rc"))
+        found = part if found is None else found.unionAll(part)
+    found = found.select(F.least("kmer", "rc").alias("canon"), (1 + (F.col("kmer") == F.col("rc")).cast("long")).alias("n"))
+    counts = found.join(wanted, "canon", "left_semi").groupBy("canon").agg(F.sum("n").alias("n"))  # few k-mers are asked for
     rows = rows.withColumn("canon", dna.canonical("kmer")).join(counts, "canon", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     found = rows.groupBy("id", "size").agg(F.max(F.when(F.col("change") == 0, F.col("n"))).alias("own"), F.max("n").alias("best"))
     return found.withColumn("passed", (F.col("own") == F.col("best")) | (F.col("own") >= MOST_COUNT) | (F.col("own") >= LEAST_RATIO * F.col("best")))

@@ -1,0 +1,208 @@
+"""Driver queries: k-mer counts, what follows from them, redundancy filters and correction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandloom.functions import dna
+from strandloom.operators import correct as C, kmers as K, qc, reads as R
+from strandloom.plans.base import COUNTS, HISTOGRAM, LOCATED, READS, ctes, km, query, rc, table, tiles
+from strandloom.streaming import lookup
+
+K31 = (READS, km(31), COUNTS)
+
+
+@query(ctes(*K31, HISTOGRAM) + "SELECT * FROM hist")
+def kmer_histogram(spark, sf_dir):
+    return K.histogram(tiles(spark, sf_dir), 31)
+
+
+@query(ctes(*K31, LOCATED) + "SELECT id, count(*) AS n_kmers, CAST(sum(same) AS BIGINT) AS sum_same, CAST(sum(revc) AS BIGINT) AS sum_revc, min(same + revc) AS least FROM loc GROUP BY 1")
+def kmer_freq_by_read(spark, sf_dir):
+    return K.read_profile(tiles(spark, sf_dir), 31)
+
+
+@query(ctes(READS, km(6), COUNTS) + "SELECT canon, fw, rv, fw + rv AS both_strands FROM cnt")
+def strand_counts_even(spark, sf_dir):
+    """Even k: palindromes count for both strands."""
+    return K.strand_counts(tiles(spark, sf_dir), 6).select("canon", "fw", "rv", (F.col("fw") + F.col("rv")).alias("both_strands"))
+
+
+@query(ctes(*K31, HISTOGRAM) + """, o AS (SELECT *, sum(kmers) OVER (ORDER BY count) AS upto, sum(kmers) OVER () AS n FROM hist),
+m AS (SELECT min(count) AS median FROM o WHERE upto > n // 2)
+SELECT median, CAST(sum(kmers) AS BIGINT) AS n, round(sqrt(sum(kmers * (count - median) * (count - median)) / (sum(kmers) - 1)), 6) AS std, CAST(median * 13 // 10 AS BIGINT) AS repeat_cutoff FROM hist, m GROUP BY median""")
+def kmer_median_cutoff(spark, sf_dir):
+    found = K.median_cutoff(K.histogram(tiles(spark, sf_dir), 31))
+    return found.select("median", "n", F.round("std", 6).alias("std"), "repeat_cutoff")
+
+
+@query(ctes(*K31, HISTOGRAM) + """, c AS (SELECT least(count, 1000) AS count, sum(kmers) AS kmers FROM hist GROUP BY 1), o AS (SELECT *, sum(kmers) OVER (ORDER BY count) AS upto, sum(kmers) OVER () AS n FROM c)
+SELECT CAST(coalesce(min(count), 1000) AS BIGINT) AS cutoff FROM o WHERE upto > 0.9 * n""")
+def kmer_proportion_cutoff(spark, sf_dir):
+    return K.proportion_cutoff(K.histogram(tiles(spark, sf_dir), 31), 0.9)
+
+
+@query(ctes(*K31, HISTOGRAM) + """, d AS (SELECT i AS count, coalesce(kmers, 0) AS kmers FROM range(1, 1001) t(i) LEFT JOIN hist ON hist.count = i WHERE i <= (SELECT least(max(count), 1000) FROM hist)),
+w AS (SELECT *, lead(kmers) OVER (ORDER BY count) AS nxt, lag(kmers) OVER (ORDER BY count) AS prv, sum(kmers) OVER (ORDER BY count) AS upto FROM d),
+m AS (SELECT coalesce((SELECT count FROM d WHERE count >= 5 ORDER BY kmers DESC, count LIMIT 1), -1) AS mode)
+SELECT CAST(mode AS BIGINT) AS mode, CAST(coalesce((SELECT min(count) FROM w WHERE count < mode - 1 AND nxt > 0 AND kmers < 2 * nxt), -1) AS BIGINT) AS by_ratio,
+  CAST(coalesce((SELECT count FROM w WHERE count < mode AND upto > 0 ORDER BY CAST(kmers AS DOUBLE) / upto, count LIMIT 1), -1) AS BIGINT) AS by_share,
+  CAST(coalesce((SELECT min(count) FROM w WHERE (prv > 0 AND kmers > 0.75 * prv) OR (prv = 0 AND kmers > 0)), -1) AS BIGINT) AS local_minimum FROM m""")
+def error_boundary(spark, sf_dir):
+    return K.error_boundary(K.histogram(tiles(spark, sf_dir), 31))
+
+
+@query(ctes(*K31, LOCATED) + "SELECT id, count(*) AS n_kmers, min(same + revc) AS least FROM loc GROUP BY 1 HAVING min(same + revc) > 2")
+def kmer_solid_filter(spark, sf_dir):
+    return K.solid_reads(tiles(spark, sf_dir), 31, 2)
+
+
+@query(ctes(READS, km(12)) + """SELECT kmer, count(*) FILTER (WHERE nx = 'A') AS a, count(*) FILTER (WHERE nx = 'C') AS c, count(*) FILTER (WHERE nx = 'G') AS g, count(*) FILTER (WHERE nx = 'T') AS t, count(*) FILTER (WHERE nx = '') AS "end"
+FROM (SELECT kmer, substr(seq, pos + 13, 1) AS nx FROM km) GROUP BY 1""")
+def extension_counts(spark, sf_dir):
+    return K.extensions(tiles(spark, sf_dir), 12)
+
+
+NEAR = f"""bothk AS (SELECT kmer FROM km UNION SELECT {rc('kmer')} FROM km),
+o AS (SELECT left(kmer, 20) AS h, count(*) AS n FROM bothk GROUP BY 1), p AS (SELECT right(kmer, 20) AS t, count(*) AS n FROM bothk GROUP BY 1),
+near AS (SELECT kmer, coalesce(o.n, 0) AS out_degree, coalesce(p.n, 0) AS in_degree FROM bothk LEFT JOIN o ON o.h = right(kmer, 20) LEFT JOIN p ON p.t = left(kmer, 20))"""
+K21 = (READS, km(21), NEAR)
+
+
+@query(ctes(*K21) + "SELECT out_degree, in_degree, count(*) AS kmers FROM near GROUP BY 1, 2")
+def next_kmer_degree(spark, sf_dir):
+    return K.neighbours(tiles(spark, sf_dir), 21).groupBy("out_degree", "in_degree").agg(F.count("*").alias("kmers"))
+
+
+@query(ctes(*K21) + """, s AS (SELECT id, pos, in_degree, out_degree FROM km JOIN near USING (kmer)),
+e AS (SELECT id, min(pos) FILTER (WHERE in_degree >= 2) AS up, max(pos) FILTER (WHERE out_degree >= 2) AS down, arg_min(in_degree, pos) AS i, arg_max(out_degree, pos) AS o, max(pos) AS z FROM s GROUP BY 1),
+b AS (SELECT id, CASE WHEN i = 0 THEN up ELSE 0 END AS b, CASE WHEN o = 0 THEN down ELSE z END AS e FROM e)
+SELECT id, CASE WHEN b <= e THEN substr(seq, b + 1, e - b + 21) ELSE '' END AS seq FROM reads LEFT JOIN b USING (id)""")
+def trim_dead_ends(spark, sf_dir):
+    return K.trim_dead_ends(tiles(spark, sf_dir), 21)
+
+
+@query(ctes(*K31, LOCATED) + """, w AS (SELECT id, pos, same, revc, lead(same) OVER (PARTITION BY id ORDER BY pos) AS s2, lead(revc) OVER (PARTITION BY id ORDER BY pos) AS r2 FROM loc)
+SELECT id, pos, same, s2, revc, r2 FROM w WHERE abs(same - s2) > 2 AND least(same, s2) <= 0.5 * greatest(same, s2) AND abs(revc - r2) >= 0 AND least(revc, r2) <= 0.5 * greatest(revc, r2) AND abs(revc - r2) > 2""")
+def frequency_breaks(spark, sf_dir):
+    return K.breaks(tiles(spark, sf_dir), 31, 0.5, 2)
+
+
+@query(ctes(*K21) + """, s AS (SELECT id, pos, in_degree, out_degree FROM km JOIN near USING (kmer)),
+c AS (SELECT id, pos, CASE WHEN lag(out_degree) OVER (PARTITION BY id ORDER BY pos) = 1 AND in_degree = 1 THEN 0 ELSE 1 END AS cut FROM s),
+parts AS (SELECT id, pos, sum(cut) OVER (PARTITION BY id ORDER BY pos) AS part FROM c), g AS (SELECT id, part, min(pos) AS first, max(pos) AS last FROM parts GROUP BY 1, 2)
+SELECT id, CAST(part AS BIGINT) AS part, first, last, substr(seq, first + 1, last - first + 21) AS seq FROM g JOIN reads USING (id)""")
+def kmerize_split(spark, sf_dir):
+    return K.split_simple(tiles(spark, sf_dir), 21)
+
+
+SEARCHED = "q AS (SELECT DISTINCT substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 11, 40) AS q FROM benchmark)"
+
+
+def _searched(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(dna.substr(R.sequence_of("text"), 11, 40).alias("q")).distinct()
+
+
+@query(ctes(READS, SEARCHED) + ", s AS (SELECT id, seq, CAST(unnest(range(0, length(seq) - 23)) AS INTEGER) AS pos FROM reads WHERE length(seq) >= 24) SELECT q, id, pos FROM s JOIN q ON substr(seq, pos + 1, 24) = left(q, 24) AND length(q) >= 24 AND substr(seq, pos + 1, length(q)) = q")
+def substring_locate(spark, sf_dir):
+    return K.occurrences(tiles(spark, sf_dir), _searched(spark, sf_dir), 24)
+
+
+@query(ctes(READS, SEARCHED) + "SELECT q, count(*) AS reads FROM q JOIN reads ON contains(seq, q) WHERE length(q) >= 24 GROUP BY 1")
+def grep_reads(spark, sf_dir):
+    """Reads that hold a query sequence, once each."""
+    found = K.occurrences(tiles(spark, sf_dir), _searched(spark, sf_dir), 24)
+    return found.select("q", "id").distinct().groupBy("q").agg(F.count("*").alias("reads"))
+
+
+@query(ctes(READS, km(15), COUNTS, SEARCHED) + f""", k AS (SELECT q, CAST(i AS INTEGER) AS pos, substr(q, CAST(i AS INTEGER) + 1, 15) AS kmer FROM (SELECT q, unnest(range(0, length(q) - 14)) AS i FROM q WHERE length(q) >= 15))
+SELECT q, pos, kmer, coalesce(CASE WHEN kmer = canon THEN fw ELSE rv END, 0) AS same, coalesce(CASE WHEN kmer = canon THEN rv ELSE fw END, 0) AS revc FROM k LEFT JOIN cnt ON canon = least(kmer, {rc('kmer')})""")
+def kmer_lookup(spark, sf_dir):
+    """The batch form of the streaming lookup."""
+    return lookup.kmer_lookup(_searched(spark, sf_dir), K.strand_counts(tiles(spark, sf_dir), 15), 15)
+
+
+@query(ctes(READS) + """, s AS (SELECT idx, concat(seq, '$') AS s FROM reads), x AS (SELECT idx, substr(s, CAST(i AS INTEGER)) AS suffix, CASE WHEN i = 1 THEN '$' ELSE substr(s, CAST(i AS INTEGER) - 1, 1) END AS symbol FROM (SELECT idx, s, unnest(range(1, length(s) + 1)) AS i FROM s)),
+w AS (SELECT left(suffix, 3) AS bucket, symbol, lag(symbol) OVER (PARTITION BY left(suffix, 3) ORDER BY suffix, idx) AS prv FROM x)
+SELECT bucket, count(*) AS n, CAST(count(*) FILTER (WHERE prv IS NULL OR prv <> symbol) AS BIGINT) AS runs, count(*) FILTER (WHERE symbol = 'A') AS a, count(*) FILTER (WHERE symbol = 'C') AS c, count(*) FILTER (WHERE symbol = 'G') AS g, count(*) FILTER (WHERE symbol = 'T') AS t, count(*) FILTER (WHERE symbol = '$') AS ends FROM w GROUP BY 1""")
+def suffix_columns(spark, sf_dir):
+    return K.suffix_columns(tiles(spark, sf_dir))
+
+
+CANON = f"c AS (SELECT *, least(seq, {rc('seq')}) AS canon FROM reads)"
+
+
+@query(ctes(READS, CANON) + "SELECT id, idx, seq, count(*) OVER (PARTITION BY canon) AS copies, row_number() OVER (PARTITION BY canon ORDER BY idx) = 1 AS kept FROM c")
+def dedup_reads(spark, sf_dir):
+    return qc.duplicates(tiles(spark, sf_dir))
+
+
+INSIDE = f"""short AS (SELECT id, seq FROM reads WHERE length(seq) BETWEEN 31 AND 99), probe AS (SELECT id, seq FROM short UNION ALL SELECT id, {rc('seq')} FROM short),
+host AS (SELECT seq, CAST(i AS INTEGER) AS pos FROM (SELECT seq, unnest(range(0, length(seq) - 30)) AS i FROM (SELECT DISTINCT seq FROM reads WHERE length(seq) >= 31))),
+inside AS (SELECT DISTINCT probe.id FROM probe JOIN host ON left(probe.seq, 31) = substr(host.seq, pos + 1, 31) WHERE length(host.seq) > length(probe.seq) AND substr(host.seq, pos + 1, length(probe.seq)) = probe.seq)"""
+
+
+@query(ctes(READS, INSIDE) + "SELECT id FROM inside")
+def substring_reads(spark, sf_dir):
+    return qc.contained(tiles(spark, sf_dir))
+
+
+def _runs_sql() -> str:
+    counts = " UNION ALL ".join(f"SELECT least(w, {rc('w')}) AS canon, count(*) + count(*) FILTER (WHERE w = {rc('w')}) AS n FROM (SELECT substr(seq, CAST(i AS INTEGER), {k}) AS w FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM reads WHERE length(seq) >= {k})) GROUP BY 1" for k in range(49, 54))
+    return f"""rr AS (SELECT id, seq, regexp_extract_all(seq, 'A+|C+|G+|T+') AS runs FROM reads), r1 AS (SELECT *, list_max(list_transform(runs, lambda x: length(x))) AS size FROM rr),
+r2 AS (SELECT *, list_filter(runs, lambda x: length(x) = size)[1] AS run FROM r1 WHERE size >= 6 AND size < 25 AND length(seq) >= 51), r3 AS (SELECT *, strpos(seq, run) AS place FROM r2),
+r4 AS (SELECT *, greatest(1, least(place - (51 - size) // 2, length(seq) - 50)) AS l FROM r3), r5 AS (SELECT * FROM r4 WHERE place - l >= 5 AND l + 51 - place - size >= 5),
+v AS (SELECT id, size, d, concat(substr(seq, l, place - l), repeat(left(run, 1), CAST(size + d AS INTEGER)), substr(seq, place + size, l + 51 - place - size)) AS w FROM r5, (SELECT unnest(range(-2, 3)) AS d)),
+kc AS ({counts}),
+hp AS (SELECT id, CAST(size AS INTEGER) AS size, max(coalesce(n, 0)) FILTER (WHERE d = 0) AS own, max(coalesce(n, 0)) AS best FROM v LEFT JOIN kc ON canon = least(w, {rc('w')}) GROUP BY 1, 2)"""
+
+
+@query(ctes(READS, _runs_sql()) + "SELECT id, size, own, best, own = best OR own >= 10 OR own >= 0.1 * best AS passed FROM hp")
+def homopolymer_check(spark, sf_dir):
+    return qc.homopolymer_check(tiles(spark, sf_dir))
+
+
+@query(ctes(*K31, LOCATED, CANON, INSIDE, _runs_sql()) + """, d AS (SELECT id, seq, row_number() OVER (PARTITION BY canon ORDER BY idx) = 1 AS first FROM c),
+sol AS (SELECT id FROM loc GROUP BY 1 HAVING min(same + revc) > 1), bad AS (SELECT id FROM hp WHERE NOT (own = best OR own >= 10 OR own >= 0.1 * best)),
+f AS (SELECT CASE WHEN inside.id IS NOT NULL THEN 'substring' WHEN NOT first THEN 'duplicate' WHEN sol.id IS NULL THEN 'kmer' WHEN bad.id IS NOT NULL THEN 'homopolymer'
+  WHEN greatest(length(seq) - length(replace(seq, 'A', '')), length(seq) - length(replace(seq, 'C', '')), length(seq) - length(replace(seq, 'G', '')), length(seq) - length(replace(seq, 'T', ''))) / CAST(length(seq) AS DOUBLE) > 0.9 THEN 'degenerate' ELSE 'pass' END AS reason
+  FROM d LEFT JOIN inside USING (id) LEFT JOIN sol USING (id) LEFT JOIN bad USING (id))
+SELECT reason, count(*) AS reads FROM f GROUP BY 1""")
+def qc_reasons(spark, sf_dir):
+    return qc.reasons(tiles(spark, sf_dir), 31, 1).groupBy("reason").agg(F.count("*").alias("reads"))
+
+
+CORRECTED = f"""st AS (SELECT id, pos, same + revc >= 4 AS strong FROM loc), nb AS (SELECT *, coalesce(lag(strong) OVER (PARTITION BY id ORDER BY pos), false) AS p, coalesce(lead(strong) OVER (PARTITION BY id ORDER BY pos), false) AS n FROM st),
+sp AS (SELECT id, min(pos) AS place, arg_min(CASE WHEN p THEN pos + 30 ELSE pos END, pos) AS base_at FROM nb WHERE NOT strong AND (p OR n) GROUP BY 1),
+tr AS (SELECT id, base_at, b, concat(left(w, base_at - place), b, substr(w, base_at - place + 2)) AS t FROM (SELECT sp.*, substr(seq, place + 1, 31) AS w FROM sp JOIN reads USING (id)), (VALUES ('A'), ('C'), ('G'), ('T')) x(b)),
+be AS (SELECT id, base_at, max(b) AS b FROM tr JOIN cnt ON canon = least(t, {rc('t')}) WHERE fw + rv >= 4 GROUP BY 1, 2),
+cor AS (SELECT id, seq AS old, CASE WHEN b IS NOT NULL AND substr(seq, base_at + 1, 1) <> b THEN concat(left(seq, base_at), b, substr(seq, base_at + 2)) ELSE seq END AS seq, CASE WHEN b IS NOT NULL AND substr(seq, base_at + 1, 1) <> b THEN base_at END AS changed_at FROM reads LEFT JOIN be USING (id))"""
+
+
+@query(ctes(*K31, LOCATED, CORRECTED) + "SELECT id, seq, CAST(changed_at AS INTEGER) AS changed_at FROM cor WHERE changed_at IS NOT NULL")
+def kmer_correct_once(spark, sf_dir):
+    return C.correct_once(tiles(spark, sf_dir), 31, 4).filter(F.col("changed_at").isNotNull())
+
+
+@query(ctes(*K31, LOCATED, CORRECTED) + f""", e AS (SELECT r.seq AS s, cor.seq AS f, {R.SQL_SCORES.replace('seq', 'r.seq')} AS q, unnest(range(1, length(r.seq) + 1)) AS i FROM reads r JOIN cor USING (id)),
+x AS (SELECT CAST(i - 1 AS VARCHAR) AS position, substr(s, CAST(i AS INTEGER), 1) AS base, CASE WHEN i > 3 THEN substr(s, CAST(i AS INTEGER) - 2, 2) END AS previous, CAST(q[i] AS VARCHAR) AS quality, CAST(substr(s, CAST(i AS INTEGER), 1) <> substr(f, CAST(i AS INTEGER), 1) AS BIGINT) AS bad FROM e)
+SELECT kind, key, count(*) AS samples, CAST(sum(bad) AS BIGINT) AS errors FROM (SELECT 'position' AS kind, position AS key, bad FROM x UNION ALL SELECT 'base', base, bad FROM x UNION ALL SELECT 'previous', previous, bad FROM x WHERE previous IS NOT NULL UNION ALL SELECT 'quality', quality, bad FROM x) GROUP BY 1, 2""")
+def correction_metrics(spark, sf_dir):
+    rows = R.with_scores(tiles(spark, sf_dir))
+    return C.metrics(rows, C.correct_once(rows, 31, 4))
+
+
+@query(ctes(READS) + """, al AS (SELECT a.doc_id * 1000000 + a.pos AS root, b.pos - a.pos AS o, b.seq AS seq FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 50 AND a.pos + 50),
+e AS (SELECT root, o + i - 1 AS pos, substr(seq, CAST(i AS INTEGER), 1) AS base FROM (SELECT root, o, seq, unnest(range(1, length(seq) + 1)) AS i FROM al)),
+p AS (SELECT root, pos, count(*) FILTER (WHERE base = 'A') AS a, count(*) FILTER (WHERE base = 'C') AS c, count(*) FILTER (WHERE base = 'G') AS g, count(*) FILTER (WHERE base = 'T') AS t FROM e GROUP BY 1, 2),
+w AS (SELECT idx AS root, i - 1 AS pos, substr(seq, CAST(i AS INTEGER), 1) AS base FROM (SELECT idx, seq, unnest(range(1, length(seq) + 1)) AS i FROM reads)),
+z AS (SELECT root, base, a + c + g + t AS depth, greatest(a, c, g, t) AS top, CASE base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END AS mine FROM w JOIN p USING (root, pos))
+SELECT root, count(*) AS bases, CAST(sum(depth) AS BIGINT) AS depth, count(*) FILTER (WHERE mine < top) AS changed FROM z GROUP BY 1""")
+def pileup_consensus(spark, sf_dir):
+    """Each read with its document's neighbouring reads placed on it."""
+    r = tiles(spark, sf_dir)
+    shifts = F.explode(F.array(*[F.lit(s) for s in (-50, 0, 50)])).alias("shift")
+    placed = r.select("doc_id", "pos", "seq", shifts).select("doc_id", (F.col("pos") - F.col("shift")).alias("p"), F.col("shift").alias("offset"), "seq")
+    placed = placed.join(r.select("doc_id", F.col("pos").alias("p"), F.col("idx").alias("root")), ["doc_id", "p"]).select("root", "offset", "seq")
+    found = C.consensus(C.pileup(placed), r.select(F.col("idx").alias("root"), "seq"))
+    return found.groupBy("root").agg(F.count("*").alias("bases"), F.sum("depth").alias("depth"), F.count_if(F.col("base") != F.col("called")).alias("changed"))

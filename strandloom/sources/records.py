@@ -92,10 +92,10 @@ def parse_graph(lines: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame,
     tag = lambda name: F.regexp_extract(F.array_join("p", "\t"), rf"\b{name}:[iAZf]:([^\t]*)", 1)
     blank = lambda c: F.when(c != "", c)
     header = parts.filter(F.col("p")[0] == "HT").select(*[blank(tag(n)).cast(t).alias(n.lower()) for n, t in (("VN", "int"), ("ER", "float"), ("OL", "int"), ("IN", "string"), ("CN", "int"), ("TE", "int"))])
-    vertices = parts.filter(F.col("p")[0] == "VT").select(F.col("p")[1].alias("id"), F.col("p")[2].alias("seq"), blank(tag("SS")).cast("int").alias("ss"))
-    f = F.split(F.col("p")[1], " ")
+    vertices = parts.filter(F.col("p")[0] == "VT").select(F.get("p", F.lit(1)).alias("id"), F.get("p", F.lit(2)).alias("seq"), blank(tag("SS")).cast("int").alias("ss"))
+    f = F.split(F.get("p", F.lit(1)), " ")
     names = (("id0", "string"), ("id1", "string"), ("s0", "int"), ("e0", "int"), ("l0", "int"), ("s1", "int"), ("e1", "int"), ("l1", "int"))
-    edges = parts.filter(F.col("p")[0] == "ED").select(*[f[i].cast(t).alias(n) for i, (n, t) in enumerate(names)], (f[8] == "1").alias("is_rc"), f[9].cast("int").alias("num_diff"))
+    edges = parts.filter(F.col("p")[0] == "ED").select(*[F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)], (F.get(f, F.lit(8)) == "1").alias("is_rc"), F.get(f, F.lit(9)).cast("int").alias("num_diff"))
     return header, vertices, edges.filter(F.col("e0") - F.col("s0") + 1 >= least)
 
 
