@@ -7,7 +7,7 @@ equal sets are one class. Two sets link when 100 * intersection >= 75 * union.
    number). They come last in the order of shingles, rare ones first by hash.
 2. Of each set the prefix that two linked sets must share, a bitmap of its
    shingles and its size are kept (a quarter of the set).
-3. Sets with the same first prefix shingle and like sizes form the leaves of
+3. Sets with the same least hash and like sizes form the leaves of
    signature trees: bitmaps OR-combined, ranges of sizes, union of prefixes.
 4. Leaves that share a prefix shingle and can link by size are paired; pairs
    whose bitmaps bound the overlap below need are pruned.
@@ -133,7 +133,7 @@ def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFram
                             first = np.concatenate([first, late[np.argsort(place[at[hot]], kind="stable")][: p - len(first)]])
                     else:
                         first = s[:p]
-                    lead, prefix, bits = int(first[:1].view(np.int64)[0]), _short(first), bitmap(s, _bits(len(s))).tobytes()
+                    lead, prefix, bits = int(s[:1].view(np.int64)[0]), _short(first), bitmap(s, _bits(len(s))).tobytes()
                 rows.append((doc, len(s), sid, lead, prefix, bits))
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "lead", "prefix", "bits"])
             for c in ("doc_id", "lead"):
