@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -64,6 +65,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
         gradient = design.T @ (y - p) - 1e-3 * beta
         hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))  # separable rows would throw it far off
         beta += step
         if np.abs(step).max() < 1e-9:
             break
@@ -116,12 +118,12 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows that aren't rejected, with all their columns."""
+    """The rows that aren't rejected, with all their columns as they were."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = _differences([t if isinstance(t, str) else None for t in frame["text"]], model.good, model.bad, model.level)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _differences(batch.column(batch.schema.get_field_index("text")).to_pylist(), model.good, model.bad, model.level)
             p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
-            yield frame[p >= THRESHOLD]
+            yield batch.filter(pa.array(p >= THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

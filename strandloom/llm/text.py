@@ -105,7 +105,7 @@ def chunks(frames: Iterator[pd.DataFrame], column: str = "text", most: int = CHU
     for frame in frames:
         if not len(frame):
             continue
-        size = frame[column].str.len().fillna(0).to_numpy(np.int64, na_value=0)
+        size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in frame[column]), np.int64, len(frame))
         cut = np.cumsum(size) // most
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1), len(frame)]
         for a, b in zip(edges, edges[1:]):

@@ -37,9 +37,9 @@ class Rule:
 
 
 def listed_rule(verdict: str, host: str, path: str) -> Rule:
-    """Fits the host, its subdomains and paths that begin with ``path``; matched against host + newline + path."""
+    """Fits the host, its subdomains and paths that begin with ``path``; matched against host + path. No host has a slash, and every path that isn't empty begins with one."""
     whole = [t for t in TOKEN.findall(host.lower())]
-    return Rule(host + path, verdict, rf"(?s)\A(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}", tuple(whole), True)
+    return Rule(host + path, verdict, rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape(path) or '(?=/|$)'}", tuple(whole), True)
 
 
 def content_rule(word: str) -> Rule:
@@ -60,15 +60,11 @@ def parts(url):
     return host, path
 
 
-def _subject(host: str, path: str) -> str:
-    return host + "\n" + path
-
-
 def token_counts(split: DataFrame, wanted: list[str]) -> dict[str, int]:
     """Urls that hold each of the rules' tokens (as many rows as rules have tokens, whatever the table's size)."""
     if not wanted:
         return {}
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", "host", "path")), F.lit(r"([a-z0-9]{2,})"), F.lit(1)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(r"([a-z0-9]{2,})"), F.lit(1)))
     row = split.select([F.sum(F.array_contains(tokens, t).cast("long")).alias(f"t{i}") for i, t in enumerate(wanted)]).first()
     return {t: row[i] or 0 for i, t in enumerate(wanted)}
 
@@ -92,7 +88,7 @@ def judge(pages: DataFrame, found: list[Rule] | None = None) -> DataFrame:
         for frame in frames:
             named, verdicts = [], []
             for host, path in zip(frame["host"], frame["path"]):
-                subject = _subject(host, path)
+                subject = host + path
                 low = subject.lower()
                 best, blocked = None, False
                 for i in [*always, *(i for t in set(TOKEN.findall(low)) for i in index.get(t, ()))]:
@@ -121,6 +117,6 @@ m AS (
   SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
   FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1)
 SELECT p.page_id, p.host, p.path, m.rule,
-  coalesce(m.verdict, CASE WHEN regexp_matches(lower(p.host || chr(10) || p.path), '(^|[^a-z0-9])(casino|porn|xxx|viagra|poker|betting|torrent|warez|escort|payday-loan)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.verdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(^|[^a-z0-9])(casino|porn|xxx|viagra|poker|betting|torrent|warez|escort|payday-loan)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)
 """

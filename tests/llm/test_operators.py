@@ -1,0 +1,322 @@
+"""Each operator against brute force or exact expectations, and on awkward rows."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from strandloom.llm import decontaminate, graph, hamming, html, jaccard, langid, mixing, pii, quality, secrets, text, urlrules
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, b string"
+RNG = np.random.default_rng(4)
+VOCABULARY = ["".join(RNG.choice(list("abcdefghij"), 5)) for _ in range(400)]
+
+
+def prose(n, seed):
+    return " ".join(np.random.default_rng(seed).choice(VOCABULARY, n))
+
+
+def docs(spark, rows):
+    """rows: (doc_id, text) or (doc_id, text, lang, source); the other columns have names that operators might use."""
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", 1, 0.5, "x", None) for r in rows], DOCS)
+
+
+AWKWARD = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a"), (5, "a"), (None, "alone here"), (7, "word " * 30000), (8, "x" * 200000), (9, "é ü ñ 漢字 \u2003 z")]
+
+
+def sets_of(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_join(rows):
+    s = [sets_of(t) for _, t in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(rows[i][0])
+    least = {k: min([v for v in g if v is not None], default=None) for k, g in groups.items()}
+    return Counter((rows[i][0], len(s[i]), least[root(i)], links[i]) for i in range(len(rows)))
+
+
+def near(t, seed, edits):
+    w, rng = t.split(), np.random.default_rng(seed)
+    for _ in range(edits):
+        w[rng.integers(len(w))] = f"new{rng.integers(1000)}"
+    return " ".join(w)
+
+
+def test_jaccard_join_matches_brute_force(spark):
+    rows = [(i, prose(int(RNG.integers(3, 120)), i)) for i in range(60)]
+    rows += [(100 + i, near(prose(150, 900), i, int(i % 4))) for i in range(70)]  # near copies, more than a leaf
+    rows += [(200 + i, prose(40, 901) + " " + prose(25, i)) for i in range(40)]  # a shared passage
+    rows += [(300 + i, prose(60, 902).upper() if i % 2 else prose(60, 902)) for i in range(9)] + AWKWARD
+    got = Counter(tuple(r) for r in jaccard.join(docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_join(rows)
+
+
+def test_jaccard_join_in_blocks(spark):
+    """Groups over the bound are dealt to block pairs and still lose no link."""
+    rows = [(i, near(prose(80, 77), i, i % 3)) for i in range(50)]
+    got = Counter(tuple(r) for r in jaccard.join(docs(spark, rows), group_shingles=600).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_join(rows)
+
+
+def test_jaccard_order_of_shingles_does_not_matter(spark):
+    rows = [(i, near(prose(50, 5), i, 1) + " " + prose(4, i)) for i in range(40)]
+    frame = docs(spark, rows)
+    heavy = jaccard.heavy_shingles(frame, least=3)
+    assert len(heavy) and Counter(tuple(r) for r in jaccard.join(frame).collect()) == brute_join(rows)
+
+
+def test_deduplicate_keeps_one_of_each_group(spark):
+    rows = [(3, prose(60, 1)), (1, prose(60, 1)), (2, near(prose(60, 1), 0, 1)), (9, prose(30, 2)), (4, None), (5, None)]
+    frame = docs(spark, rows).withColumn("dotted.name", F.lit(1))
+    kept = jaccard.deduplicate(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 9]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=30))
+def test_tree_loses_no_pair(sets):
+    arrays = sorted([np.sort(text.mix(np.array(sorted(s), np.uint64))) for s in sets], key=len)
+    found = {(int(x), int(y)) for xs, ys in jaccard.Tree(arrays).pairs() for x, y in zip(xs, ys)}
+    for i in range(len(arrays)):
+        for j in range(i + 1, len(arrays)):
+            a, b = set(arrays[i].tolist()), set(arrays[j].tolist())
+            if 100 * len(a & b) >= 75 * len(a | b):
+                assert (i, j) in found
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \t\n\x0b\u2003é漢x", max_size=40)), max_size=6))
+def test_words_are_those_of_the_pattern(texts):
+    w = text.Words(texts)
+    for i, t in enumerate(texts):
+        expected = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        a, b = w.bounds[i], w.bounds[i + 1]
+        assert [w.text(k, k + 1) for k in range(a, b)] == expected
+        assert len(set(w.of(i).tolist())) == len({"".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in expected})
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_secret_scan(spark):
+    token = "3f786850e387550fdab836ed7e6dc881de23001b"
+    rows = [(10, f'see token = "{token}" there'), (11, f"commit {token} fixes it"), (12, 'password: "changeme1234"'), (13, "order 1234567890123456789012"), (14, f'a token = "{token}" b token = "{token}"'), *AWKWARD]
+    got = [(r.doc_id, r.start, r.stop) for r in secrets.scan(docs(spark, rows)).filter("is_secret").collect()]
+    assert sorted(got) == [(10, 13, 53), (14, 11, 51), (14, 64, 104)]
+    frame = docs(spark, rows)
+    after = secrets.redact(frame)
+    assert after.schema == frame.schema and after.count() == len(rows)
+    texts = {r.doc_id: r.text for r in after.collect()}
+    assert token not in texts[10] + texts[14] and token in texts[11] and texts[9] == AWKWARD[-1][1] and texts[1] is None
+
+
+def test_forest_on_unseen_findings():
+    found = secrets.labelled_findings(600, seed=91)
+    votes = secrets.vote(secrets.default_forest(), np.array([secrets.features(*f[:4]) for f in found]))
+    assert ((votes >= 0.5) == np.array([f[4] for f in found])).mean() > 0.97
+
+
+def test_quality_learns_and_scores_all(spark):
+    rows = [(i, prose(60, i) if i % 3 else prose(60, i).translate(str.maketrans("abcdefghij", "klmnopqrst"))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, rows), labels)
+    got = {r.doc_id: r for r in quality.score(docs(spark, rows), model).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == int(i % 3 > 0) for i in held]) > 0.95
+    odd = quality.score(docs(spark, AWKWARD), model).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd)
+    frame = docs(spark, rows)
+    assert quality.keep(frame, model).schema == frame.schema
+    assert {r.doc_id for r in quality.keep(frame, model).collect()} == {i for i, r in got.items() if r.predicted}
+
+
+def test_quality_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    frame = docs(spark, AWKWARD)
+    scores = {r.score for r in quality.score(frame, quality.fit(frame, none)).collect()}
+    assert scores == {0.5}
+
+
+def test_surrogates_keep_formats_and_identity(spark):
+    mail = "jane.roe7@mail.example.com"
+    rows = [(20, f"write {mail} or +1 (201) 555-0199"), (21, f"{mail} from 10.0.255.7"), (22, "card 4539 1488 0343 6467, not 4539 1488 0343 6468"), (23, "Dr. Mary Smith met Анна Иванов"), (24, "nothing here"), *AWKWARD]
+    got = {r.doc_id: r for r in pii.replace(docs(spark, rows)).collect() if r.doc_id}
+    assert got[20].kinds == ["email", "phone"] and got[21].kinds == ["email", "ip"] and got[22].kinds == ["card"] and got[23].kinds == ["titled", "name"]
+    new = got[20].text.split()[1]
+    assert new != mail and got[21].text.split()[0] == new and re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.com", new)
+    assert "4539 1488 0343 6468" in got[22].text and pii.luhn(re.findall(r"\d{4} \d{4} \d{4} \d{4}", got[22].text)[0].replace(" ", ""))
+    first, last = got[23].text.split()[1:3]
+    assert first in pii.FIRST["latin", "f"] and last in pii.LAST["latin"] and got[23].text.split()[4] in pii.FIRST["cyrillic", "f"]
+    assert got[24].text == "nothing here" and got[1].text is None and got[2].text == "" and got[9].text == AWKWARD[-1][1]
+    assert pii.collisions(docs(spark, rows)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 5000), st.binary(min_size=1, max_size=8))
+def test_shift_is_a_permutation_without_fixed_points(domain, key):
+    step = max(1, domain // 97)
+    values = list(range(0, domain, step))
+    new = [pii.shift(key, v, domain) for v in values]
+    assert len(set(new)) == len(values) and all(0 <= n < domain and n != v for n, v in zip(new, values))
+
+
+def test_mixing_meets_targets(spark):
+    rows = [(i, "w " * int(RNG.integers(0, 90)), "en", f"s{i % 5}" if i % 7 else None) for i in range(900)] + [(2000 + i, "w " * 40, "en", "s0") for i in range(2500)] + [(None, "a b", "en", "s1"), (7, None, "en", "s2")]
+    frame = docs(spark, rows)
+    got = mixing.mix(frame).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 2 * got["size"]).all()
+    by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by["target"] - by["taken"]) <= 1).all()
+    s = by["size"].to_dict()
+    order = sorted(k for k in s if isinstance(k, str)) + [k for k in s if not isinstance(k, str)]
+    want = dict.fromkeys(order, 0.0)  # resharing round by round
+    left, live = 1.5 * sum(s.values()), {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(order)}
+    while left > 1e-6 and live:
+        total, spill, full = sum(live.values()), 0.0, []
+        for k, w in live.items():
+            want[k] += left * w / total
+            if want[k] >= 2 * s[k]:
+                spill += want[k] - 2 * s[k]
+                want[k] = 2.0 * s[k]
+                full.append(k)
+        left = spill
+        live = {k: w for k, w in live.items() if k not in full}
+    assert np.allclose([want[k] for k in by.index], by["target"])
+    key = ["doc_id", "size", "taken", "source"]
+    again = mixing.mix(frame.repartition(7)).toPandas()
+    assert Counter(map(str, again[key].values.tolist())) == Counter(map(str, got[key].values.tolist()))
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=1, max_size=8), st.data())
+def test_knapsack_is_as_near_as_can_be(groups, data):
+    size, count = np.array(list(groups)), np.array(list(groups.values()))
+    budget = data.draw(st.integers(0, int((size * count).sum())))
+    taken = mixing.fit_counts(size, count, budget, 1)
+    assert ((taken >= 0) & (taken <= count)).all()
+    assert abs(int((size * taken).sum()) - budget) <= size.max()
+
+
+def test_hamming_top_k_is_exact(spark):
+    vectors = [(int(i), [float(v) for v in RNG.standard_normal(64)], 0) for i in range(700)]
+    vectors += [(1000 + i, vectors[3][1], 0) for i in range(300)] + [(5000, None, 0), (5100, [], 0), (400, vectors[1][1], 0), (None, vectors[2][1], 0)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    code = {(i, n): np.array(v) >= 0 for n, (i, v, _) in enumerate(vectors) if v}
+    got = defaultdict(list)
+    for r in hamming.top_k(frame, k=7, index_block=256, query_block=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.distance, r.vec_id))
+    for (q, n), c in code.items():
+        if q is not None and q % 100 == 0 and q != 400:
+            assert got[q] == sorted((int((c != d).sum()), i) for (i, _), d in code.items() if i is not None)[:7]
+    assert 5000 not in got and 5100 not in got
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{x}</style></head><body><!-- c --><h1>Head&amp;er</h1>
+<p>One <b>two</b>
+three<p>Four<br>five<div hidden>no</div><span style="display: none">no</span><ul><li>a<li>b <ol start=3><li>c</ol></ul>
+<table><tr><th>Name<th>N<tr><td>x<td>10<tr><td>longer<td>7</table><pre>k  l
+ m</pre><script>var t="</p>";</script>end"""
+
+
+def test_html_layout():
+    assert html.render(PAGE) == "Head&er\n\nOne two three\n\nFour\nfive\n\n- a\n- b\n\n  3. c\n\nName    N\nx       10\nlonger  7\n\nk  l\n m\n\nend"
+    assert html.render("") == "" and html.render("plain &lt; text") == "plain < text" and html.render("<p>a</p></div></p>b") == "a\n\nb"
+    assert html.render("<div>" * 5000 + "deep") == "deep" and html.render("<b") == ""
+
+
+def test_html_rows(spark):
+    frame = spark.createDataFrame([(1, "u", "<p>a b"), (2, None, None), (2, None, ""), (None, "u", "<td>x")], "page_id long, url string, html string")
+    assert Counter((r.page_id, r.text, r.n_words) for r in html.extract(frame).collect()) == Counter([(1, "a b", 2), (2, None, 0), (2, "", 0), (None, "x", 1)])
+
+
+def test_language(spark):
+    kinds = {"aa": "abcd", "bb": "efgh", "cc": "éñüß"}
+    rows = [(i, "".join(np.random.default_rng(i).choice(list(letters + " "), 80)), lang) for k, (lang, letters) in enumerate(kinds.items()) for i in range(k * 100, k * 100 + 100)]
+    frame = docs(spark, rows + [(900, "abab", None), (901, "123 !!", "aa"), *AWKWARD])
+    got = {r.doc_id: r for r in langid.identify(frame).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert held and all(got[i].lang_pred == lang for i, _, lang in held)
+    assert got[900].lang_pred in kinds and got[901].lang_pred == "und" and got[1].lang_pred == "und" and got[2].score == 0
+    assert {r.lang_pred for r in langid.identify(docs(spark, [(1, "abc", None)])).collect()} == {"und"}
+    assert langid.identify(docs(spark, [])).count() == 0
+
+
+def test_language_scores_match_a_plain_sum():
+    langs, matrix = ["a", "b"], np.random.default_rng(0).standard_normal((2, 64)).astype(np.float32)
+    column, owner, has = langid.grams(["ab c", None, "1"], 64)
+    assert list(has) == [True, False, False]
+    alone = langid.grams(["ab c"], 64)[0]
+    assert sorted(column[owner == 0]) == sorted(alone) and len(alone) == 3 + 5 + 4  # letters, pairs and triples of " ab c "
+
+
+def judge_plainly(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in re.match(r"[^/?#]*", rest)[0]) if rest is not None else ""
+    path = re.match(r"[^?#]*", rest[len(host) :])[0] if rest is not None else ""
+    fits = [(len(h + p), h + p, v) for v, h, p in urlrules.LISTED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    bad = any(re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", (host + path).lower()) for w in urlrules.CONTENT)
+    return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "block" if bad else "allow")
+
+
+def test_url_rules(spark):
+    urls = [None, "", "x", "http://", "HTTP://A.Org/x", "http://org/", "http://org", "http://xorg/", "https://www.example.org/es/1?x", "http://example.org/en/12", "http://example.org/en/2", "http://a.com/fr/", "http://a.com/de/#f", "http://a.com/casino-win", "http://m.casino.net?x=/de/", "ftp://b.com/DE/", "a://b://c.org/es/", "http://ex\nample.org/es/"]
+    frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[5], None)], "page_id long, url string, html string")
+    for r in urlrules.judge(frame).collect():
+        if r.page_id is not None:
+            assert (r.host, r.path, r.rule, r.verdict) == judge_plainly(urls[r.page_id]), urls[r.page_id]
+
+
+def test_leaks(spark):
+    items = [(i, " ".join(np.random.default_rng(5000 + i).choice([f"{a}{b}" for a in VOCABULARY[:60] for b in VOCABULARY[60:90]], 14 + i))) for i in range(20)] + [(50, None), (51, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(200, i)) for i in range(40)]
+    rows += [(100 + i, prose(70, 300 + i) + " " + items[i][1] + " " + prose(50, 400 + i)) for i in range(20)]
+    rows += [(200, near(items[8][1], 1, 3)), (201, " ".join(items[9][1].split()[::-1])), *AWKWARD]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(100 + i, i) for i in range(20)} | {(200, 8)}
+    frame = docs(spark, rows)
+    kept = decontaminate.clean(frame, bench)
+    assert kept.columns == frame.columns and kept.count() == len(rows) - 21
+    assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
+def test_common_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    if a:
+        assert decontaminate.common_subsequence(np.array(a), np.array(b, int)) == best[-1][-1]
+
+
+@pytest.mark.parametrize("op", [jaccard.join, secrets.scan, pii.replace])
+def test_empty_tables(spark, op):
+    assert op(docs(spark, [])).count() == 0
