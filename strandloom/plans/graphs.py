@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import components as CC, graph as G, kmers as K, overlap as O, qc, reads as R, walk as W
-from strandloom.plans.base import READS, ctes, km, query, rc, table, tiles
+from strandloom.plans import assembly
+from strandloom.plans.base import READS, ctes, km, query, rc, tiles
 from strandloom.sources import records
 from strandloom.sources.durable import durable
 
@@ -298,3 +299,10 @@ def mate_join(spark, sf_dir):
     rows = tiles(spark, sf_dir).select("doc_id", "idx", F.floor(F.col("pos") / R.STEP).alias("n"))
     other = rows.select("doc_id", F.col("n").bitwiseXOR(F.lit(1).cast("bigint")).alias("n"), F.col("idx").alias("mate"))
     return rows.join(other, ["doc_id", "n"]).select("idx", "mate")
+
+
+@query()
+def assemble_contigs(spark, sf_dir):
+    """The whole run, from reads to contigs."""
+    found, _ = assembly.assemble(R.with_scores(tiles(spark, sf_dir)), assembly.Settings(least_overlap=45))
+    return found.select("v", F.length("seq").alias("len"), "cov", "seq")

@@ -18,7 +18,7 @@ def _split(value: Column) -> Column:
     lines = F.filter(F.split(F.regexp_replace(value, "\r", ""), "\n"), lambda x: x != "")
     name = lambda h: F.regexp_extract(h, r"^.([^ \t]*)", 1)
     fastq = F.transform(F.sequence(F.lit(0), F.floor(F.size(lines) / 4).cast("int") - 1), lambda i: F.struct(name(F.element_at(lines, i * 4 + 1)).alias("id"), F.element_at(lines, i * 4 + 2).alias("seq"), F.element_at(lines, i * 4 + 4).alias("qual")))
-    blocks = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace(value, "\r", "")), "\n>"), lambda x: F.trim(x) != "")
+    blocks = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace(value, "\r", "")), "\n>"), lambda x: x.rlike(r"\S"))
     fasta = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"^([^ \t\n]*)", 1).alias("id"), F.regexp_replace(F.regexp_extract(b, r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("seq"), F.lit(None).cast("string").alias("qual")))
     return F.when(F.left(F.ltrim(value), F.lit(1)) == "@", F.when(F.size(lines) >= 4, fastq).otherwise(F.array().cast("array<struct<id:string,seq:string,qual:string>>"))).otherwise(fasta)
 
@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, path: str, uppercase: bool = True) -> DataFr
 
 def scan_fasta(spark: SparkSession, path: str, uppercase: bool = True) -> DataFrame:
     """id, seq, qual of large FASTA files: records are split off by Spark's reader, so one file makes many tasks."""
-    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>", "").alias("b")).filter(F.trim("b") != "")
+    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>", "").alias("b")).filter(F.col("b").rlike(r"\S"))
     seq = F.regexp_replace(F.regexp_extract("b", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "")
     return rows.select(F.regexp_extract("b", r"^([^ \t\n]*)", 1).alias("id"), (F.upper(seq) if uppercase else seq).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
