@@ -7,10 +7,11 @@ equal sets are one class. Two sets link when 100 * intersection >= 75 * union.
    number). They come last in the order of shingles, rare ones first by hash.
 2. Of each set the prefix that two linked sets must share, a bitmap of its
    shingles and its size are kept (a quarter of the set).
-3. Sets with the same least hash and like sizes form the leaves of
+3. Sets with the same least hash and like bitmaps form the leaves of
    signature trees: bitmaps OR-combined, ranges of sizes, union of prefixes.
-4. Leaves that share a prefix shingle and can link by size are paired; pairs
-   whose bitmaps bound the overlap below need are pruned.
+4. Leaves that share as many prefix shingles as linked sets must, and can link
+   by size, are paired; pairs whose bitmaps bound the overlap below need are
+   pruned.
 5. Connected leaves form candidate groups. Each group's sets are sent once to
    one task (a large group to the tasks of its block pairs), which builds the
    tree's upper levels and traverses it against itself, pruning node pairs by
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm.graph import components
 from strandloom.llm.storage import durable
-from strandloom.llm.text import Words, chunks, shingle_runs
+from strandloom.llm.text import Words, chunks, mix, shingle_runs
 
 #: Fixed values of the contract: SHARE / 100 of the union must be common.
 WORDS, SHARE = 5, 75
-LEAF, FAN = 32, 8
+LEAF, FAN = 256, 8
 
 
 def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -58,7 +59,7 @@ def _texts(frame: pd.DataFrame) -> list[str | None]:
     return [t if isinstance(t, str) else None for t in frame["text"]]
 
 
-def heavy_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, flush: int = 1 << 21, most: int = 1 << 17) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, words: int = WORDS, least: int = 3, flush: int = 1 << 21, most: int = 1 << 18) -> np.ndarray:
     """Shingles that are frequent within runs of ``flush`` shingles, in rising order of their counts; ``most`` at most. Guides the order of shingles only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,6 +87,11 @@ def heavy_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, flush: i
     return found["h"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
 
 
+def _leads(s: np.ndarray) -> tuple[int, int]:
+    """The least hashes under two functions. Near copies mostly have the same."""
+    return int(s[:1].view(np.int64)[0]), int(mix(s * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(1))
+
+
 def _bits(n: int) -> int:
     return max(64, 1 << (4 * n - 1).bit_length())
 
@@ -110,7 +116,7 @@ def prefix_size(n: int) -> int:
 
 
 def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, sid (digest of the set), lead, prefix, bits. The last three are null on all but a task's first row of a set."""
+    """doc_id, n_shingles, sid (digest of the set), lead, second, ones, prefix, bits. The last five are null on all but a task's first row of a set."""
     rank = np.argsort(heavy)
     sent = docs.sparkSession.sparkContext.broadcast((heavy[rank], rank))
 
@@ -120,7 +126,7 @@ def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFram
         for piece in chunks(frames):
             rows = []
             for doc, s in zip(piece["doc_id"], _sets(_texts(piece), words)):
-                sid, lead, prefix, bits = _digest(s), None, None, None
+                sid, lead, second, ones, prefix, bits = _digest(s), None, None, None, None, None
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     p = prefix_size(len(s))
@@ -133,14 +139,15 @@ def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFram
                             first = np.concatenate([first, late[np.argsort(place[at[hot]], kind="stable")][: p - len(first)]])
                     else:
                         first = s[:p]
-                    lead, prefix, bits = int(s[:1].view(np.int64)[0]), _short(first), bitmap(s, _bits(len(s))).tobytes()
-                rows.append((doc, len(s), sid, lead, prefix, bits))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "lead", "prefix", "bits"])
-            for c in ("doc_id", "lead"):
+                    (lead, second), prefix, bits = _leads(s), _short(first), bitmap(s, _bits(len(s)))
+                    ones, bits = _ones(bits), bits.tobytes()
+                rows.append((doc, len(s), sid, lead, second, ones, prefix, bits))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "lead", "second", "ones", "prefix", "bits"])
+            for c in ("doc_id", "lead", "second", "ones"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, sid long, lead long, prefix binary, bits binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, sid long, lead long, second long, ones long, prefix binary, bits binary")
 
 
 def _short(tokens: np.ndarray) -> bytes:
@@ -154,37 +161,58 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """leaf, members, low, high, slack, prefix, bits: sets with one lead and like sizes. Rows of a lead are dealt to 16 places, so a frequent one isn't one task's."""
+_NODE = ["leaf", "second", "members", "low", "high", "slack", "prefix", "bits"]
+
+
+def _alike(one: tuple, two: tuple) -> bool:
+    """Loosely, by bitmaps of one length: copies of copies share a node, sets that share only a passage don't."""
+    if len(one[7]) != len(two[7]) or SHARE * two[4] > 100 * one[3] or SHARE * one[4] > 100 * two[3]:
+        return False
+    return 10 * overlap_bound(np.frombuffer(one[7], np.uint8), one[5], np.frombuffer(two[7], np.uint8), two[5]) >= 6 * min(one[3], two[3])
+
+
+def _merge(held: list[tuple]) -> tuple:
+    if len(held) == 1:
+        return held[0]
+    members = [m for h in held for m in h[2]]
+    prefix = _short(np.unique(np.concatenate([_long(h[6]) for h in held])))
+    bits = np.bitwise_or.reduce([np.frombuffer(h[7], np.uint8) for h in held]).tobytes()
+    return held[0][0], held[0][1], members, min(h[3] for h in held), max(h[4] for h in held), max(h[5] for h in held), prefix, bits
 
-    def close(held: list) -> tuple:
-        bits = [np.frombuffer(h[3], np.uint8) for h in held]
-        size = min(map(len, bits))
-        bits = [fold(b, size) for b in bits]
-        slack = max(h[1] - _ones(b) for h, b in zip(held, bits))
-        prefix = held[0][2] if len(held) == 1 else _short(np.unique(np.concatenate([_long(h[2]) for h in held])))
-        return held[0][0], [h[0] for h in held], min(h[1] for h in held), max(h[1] for h in held), slack, prefix, np.bitwise_or.reduce(bits).tobytes() if len(held) > 1 else bits[0].tobytes()
+
+def _gather(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes of one key that are like the first of them become one, of at most LEAF sets. Rows of a key are dealt to two places, so a frequent one isn't one task's."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        lead = None
+        held: list[tuple] = []
+        size, its = 0, None
         for frame in frames:
             out = []
-            for sid, n, its, prefix, bits in zip(frame["sid"], frame["n_shingles"], frame["lead"], frame["prefix"], frame["bits"]):
-                if held and its == lead and sid == held[-1][0]:
-                    continue
-                if held and (its != lead or len(held) == LEAF or SHARE * n > 100 * held[0][1]):
-                    out.append(close(held))
-                    held = []
-                lead = its
-                held.append((sid, n, prefix, bits))
-            yield pd.DataFrame(out, columns=["leaf", "members", "low", "high", "slack", "prefix", "bits"])
+            for k, *row in zip(frame[key], *(frame[c] for c in _NODE)):
+                if held and k == its and row[0] == held[-1][0]:
+                    continue  # another task's row of the same set
+                row[2] = list(row[2])
+                if held and (k != its or size + len(row[2]) > LEAF or not _alike(held[0], row)):
+                    out.append(_merge(held))
+                    held, size = [], 0
+                its = k
+                held.append(tuple(row))
+                size += len(row[2])
+            yield pd.DataFrame(out, columns=_NODE)
         if held:
-            yield pd.DataFrame([close(held)], columns=["leaf", "members", "low", "high", "slack", "prefix", "bits"])
+            yield pd.DataFrame([_merge(held)], columns=_NODE)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = dict.fromkeys([key, "second", "low", "leaf"])
+    dealt = nodes.repartition(parts, key, F.pmod("leaf", F.lit(2))).sortWithinPartitions(*order)
+    return dealt.mapInPandas(run, "leaf long, second long, members array<long>, low long, high long, slack long, prefix binary, bits binary")
 
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sets.repartition(parts, "lead", F.pmod("sid", F.lit(16))).sortWithinPartitions("lead", "n_shingles", "sid")
-    return dealt.mapInPandas(run, "leaf long, members array<long>, low long, high long, slack long, prefix binary, bits binary")
+
+def leaves(sets: DataFrame) -> DataFrame:
+    """leaf, members, low, high, slack, prefix, bits: like sets of one least hash, then like nodes of one second least hash, as near copies differ in one of the two at times but seldom in both. slack: most shingles of a set beyond its bits."""
+    slack = F.col("n_shingles") - F.col("ones")
+    rows = sets.select("lead", F.col("sid").alias("leaf"), "second", F.array("sid").alias("members"), F.col("n_shingles").alias("low"), F.col("n_shingles").alias("high"), slack.alias("slack"), "prefix", "bits")
+    return _gather(_gather(rows, "lead"), "second").drop("second")
 
 
 def _post(parts: int):
@@ -213,7 +241,12 @@ def _post(parts: int):
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of leaves that share a shingle and can link by size, once in a part."""
+    """Pairs of leaves that share a shingle and can link by size, once in a part, with the prefix shingles they share there.
+
+    Of two linked sets of s <= h shingles, let the prefix of one end first, at
+    most 3h/4 of its set being behind it. They share 3(s + h)/7 or more, so more
+    than 3s/7 - 9h/28 of both prefixes: 28 * shared > 12s - 9h = need.
+    """
     get = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
     leaf, low, high = get("leaf", np.int64), get("low", np.uint32).astype(np.int64), get("high", np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(leaf), dtype=np.int64), get("count", np.uint32))
@@ -224,7 +257,13 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.append(start, len(token)))
     last = np.repeat(start + size, size)  # end of each entry's run
     at = np.flatnonzero(np.repeat(size, size) > 1)
-    met, held, step = np.zeros(0, np.int64), [], 0
+    met, shared, held, step = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def count() -> tuple[np.ndarray, np.ndarray]:
+        key, inverse = np.unique(np.concatenate([met, *held]), return_inverse=True)
+        weight = np.concatenate([shared, *[np.ones(len(h), np.int64) for h in held]])
+        return key, np.bincount(inverse, weight, minlength=len(key)).astype(np.int64)
+
     while len(at):
         step += 1
         at = at[at + step < last[at]]
@@ -233,10 +272,13 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = x[ok], y[ok]
         held.append(np.minimum(x, y) * len(leaf) + np.maximum(x, y))
         if sum(map(len, held)) > 1 << 21:
-            met, held = np.unique(np.concatenate([met, *held])), []
-    met = np.unique(np.concatenate([met, *held])) if held else met
-    a, b = leaf[met // max(1, len(leaf))], leaf[met % max(1, len(leaf))]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            met, shared = count()
+            held = []
+    met, shared = count()
+    x, y = met // max(1, len(leaf)), met % max(1, len(leaf))
+    need = 12 * np.minimum(low[x], low[y]) - 9 * np.maximum(high[x], high[y])
+    a, b = leaf[x], leaf[y]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "shared": shared, "need": need})
 
 
 def overlap_bound(one: np.ndarray, slack_one: int, two: np.ndarray, slack_two: int) -> int:
@@ -260,7 +302,8 @@ def candidate_pairs(tree: DataFrame) -> DataFrame:
     spark = tree.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = tree.select("leaf", "low", "high", "prefix").mapInPandas(_post(parts), "part int, leaf binary, low binary, high binary, count binary, token binary")
-    met = posted.groupBy("part").applyInPandas(_meet, "a long, b long").distinct()
+    met = posted.groupBy("part").applyInPandas(_meet, "a long, b long, shared long, need long")
+    met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter(28 * F.col("shared") > F.col("need")).select("a", "b")
     side = lambda c: tree.select(F.col("leaf").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("slack").alias(f"slack_{c}"), F.col("low").alias(f"low_{c}"))
     return durable(met, "pairs").join(side("a"), "a").join(side("b"), "b").mapInPandas(_prune, "a long, b long")
 
@@ -403,7 +446,7 @@ def join(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 << 21) ->
     held = durable(profiles(docs, heavy_shingles(docs, words), words), "profiles")
     full = held.filter(F.col("n_shingles") > 0)
     classes = durable(full.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.min(F.when(F.col("lead").isNotNull(), F.col("doc_id"))).alias("carrier")), "classes")
-    tree = durable(leaves(full.filter(F.col("lead").isNotNull()).select("sid", "n_shingles", "lead", "prefix", "bits")), "leaves")
+    tree = durable(leaves(full.filter(F.col("lead").isNotNull()).select("sid", "n_shingles", "lead", "second", "ones", "prefix", "bits")), "leaves")
     tied = components(candidate_pairs(tree))
     alone = tree.filter(F.size("members") > 1).select(F.col("leaf").alias("node"))
     group = tied.unionAll(alone.join(tied, "node", "left_anti").select("node", F.col("node").alias("root")))
@@ -430,5 +473,4 @@ def join(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 << 21) ->
 def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each component, that of the least id; rows without shingles all stay, as do rows without an id."""
     gone = join(docs, words).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
