@@ -306,6 +306,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_common_words(spark):
+    """An item in a third of the rows, one of frequent words only, and one of words that stand nowhere else."""
+    spread, frequent, rare = " ".join(f"spread{i}" for i in range(16)), " ".join(np.random.default_rng(8).permutation(VOCABULARY[:24])), " ".join(f"rare{i}" for i in range(16))
+    bench = spark.createDataFrame([(1, spread), (2, frequent), (3, rare)], "item_id long, text string")
+    rows = [(i, prose(150, i) + " " + (spread if i % 3 == 0 else "") + " " + prose(150, 1000 + i)) for i in range(120)] + [(500, prose(90, 7) + " " + frequent), (501, prose(90, 9) + " " + rare)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(i, 1) for i in range(0, 120, 3)} | {(500, 2), (501, 3)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 def test_common_subsequence(a, b):
