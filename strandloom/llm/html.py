@@ -1,7 +1,11 @@
 """Layout-aware HTML to text.
 
 A small tree builder closes implied tags and drops what isn't shown (head,
-scripts, comments, hidden elements); a renderer emits all visible text with
+scripts, comments, hidden elements, suggestions of a datalist, annotations of
+formulas, definitions and descriptions of drawings, and what noscript, frames,
+audio, video and canvas have only for browsers without them). Formulas, text of
+drawings and forms and the fallback of objects are shown; of a select all
+options are. A renderer emits all visible text with
 blank lines between blocks, list markers, kept line breaks in ``pre`` and table
 cells aligned in columns.
 
@@ -23,7 +27,9 @@ from pyspark.sql import DataFrame
 DEPTH = 120
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math select textarea".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas annotation annotation-xml".split())
+#: Not drawn where they stand in an svg.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th tbody thead tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table article section figure".split())
 #: A start tag closes an open element of the second column, looked for up to one of the third.
@@ -81,6 +87,8 @@ def parse(page: str) -> Node:
             continue
         _imply(stack, tag)
         node = Node(tag, _attributes(m[3]))
+        if tag in UNDRAWN and any(x.tag == "svg" for x in stack):
+            node.attributes["hidden"] = ""
         stack[-1].inner.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
@@ -192,6 +200,13 @@ def _render(node: Node, page: Page, pre: bool) -> None:
     if tag == "table":
         _table(node, page)
         return
+    if tag in ("textarea", "option", "optgroup"):
+        page.line(1)
+        if tag == "optgroup":
+            page.words(node.attributes.get("label", ""))
+            page.line(1)
+    elif tag == "text":
+        page.space = True
     block, was = tag in BLOCK, page.indent
     if block:
         page.line(2 if tag in SPACED else 1)
@@ -200,13 +215,17 @@ def _render(node: Node, page: Page, pre: bool) -> None:
     else:
         if tag in ("blockquote", "dd"):
             page.indent += "  "
-        inner_pre = pre or tag == "pre"
+        inner_pre = pre or tag in ("pre", "textarea")
         for x in node.inner:
             if isinstance(x, str):
-                page.verbatim(x.lstrip("\n") if tag == "pre" and x is node.inner[0] else x) if inner_pre else page.words(x)
+                page.verbatim(x.lstrip("\n") if tag in ("pre", "textarea") and x is node.inner[0] else x) if inner_pre else page.words(x)
             elif visible(x):
                 _render(x, page, inner_pre)
     page.indent = was
+    if tag in ("textarea", "option", "optgroup"):
+        page.line(1)
+    elif tag == "text":
+        page.space = True
     if block:
         page.line(2 if tag in SPACED else 1)
 

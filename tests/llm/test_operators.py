@@ -250,6 +250,13 @@ def test_html_layout():
     assert html.render("<div>" * 5000 + "deep") == "deep" and html.render("<b") == ""
 
 
+def test_html_shows_formulas_drawings_and_forms():
+    assert html.render("<p>a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> b") == "a x+1 b"
+    assert html.render("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>one</text><g><text>two</text></g></svg> end") == "one two end"
+    assert html.render("<textarea>\nk  l\n m</textarea>after") == "k  l\n m\nafter"
+    assert html.render("<select><optgroup label=G><option>a<option>b</select><object data=x>instead</object><datalist><option>no</datalist>") == "G\na\nb\ninstead"
+
+
 def test_html_rows(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a b"), (2, None, None), (2, None, ""), (None, "u", "<td>x")], "page_id long, url string, html string")
     assert Counter((r.page_id, r.text, r.n_words) for r in html.extract(frame).collect()) == Counter([(1, "a b", 2), (2, None, 0), (2, "", 0), (None, "x", 1)])
