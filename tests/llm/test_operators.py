@@ -135,6 +135,18 @@ def test_secret_scan(spark):
     assert token not in texts[10] + texts[14] and token in texts[11] and texts[9] == AWKWARD[-1][1] and texts[1] is None
 
 
+def test_sieve_keeps_every_text_with_candidates(spark):
+    texts = ["use password hunter2Xk9q now", "token A1b2C3d4E5f6G7 ok", "Bearer Zk3x9Qw8Lm2Pp7 sent", "xoxb-1234567890ab", "xoxb-abcdefghijkl", "eyJabcdefgh.abcdefgh.abcdefgh", "my to\u212aen abcdefgh", "\u017fecret abcdefgh", "pwd=>'abcdefgh'", "-----BEGIN PRIVATE KEY-----\n-----END PRIVATE KEY-----"]
+    rng = np.random.default_rng(6)
+    parts = ["token", "Secret", "passwd", "API_key", "bearer", " ", "\t", ":", "=", "=>", '"', "'", "xoxb-", "eyJ", ".", "abcdefgh", "Zk3x9Qw8", "é", "\n", "-", "\u2003"]
+    texts += ["".join(rng.choice(parts, 6)) for _ in range(3000)]
+    want = {i for i, t in enumerate(texts) if secrets.candidates(t)}
+    assert set(range(10)) <= want
+    frame = docs(spark, list(enumerate(texts)))
+    assert {r.doc_id for r in secrets.scan(frame).select("doc_id").distinct().collect()} == want
+    assert all(re.search(secrets.SIEVE, texts[i]) for i in want)
+
+
 def test_forest_on_unseen_findings():
     found = secrets.labelled_findings(600, seed=91)
     votes = secrets.vote(secrets.default_forest(), np.array([secrets.features(*f[:4]) for f in found]))
