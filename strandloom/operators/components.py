@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.sources.durable import durable
+from strandloom.sources.durable import discard, durable
 
 
 def _neighbourhood_least(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,18 @@ def _hang(edges: DataFrame) -> DataFrame:
     return tied.unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    return tuple(edges.selectExpr("count(*)", "bit_xor(xxhash64(a, b))").first())
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, root of all nodes with an edge to another node. ``edges``: a, b (bigint)."""
-    now, mark = durable(edges.select("a", "b").filter("a <> b").distinct(), "stars"), None
+    """node, root of all nodes with an edge to another node. ``edges``: a, b (bigint). Rounds run while the plan is built; each is a written table, as the one before is deleted."""
+    now = durable(edges.select("a", "b").filter("a <> b").distinct(), "stars")
+    mark = _mark(now)
     for _ in range(rounds):
-        now = durable(_hang(_neighbourhood_least(now)), "stars")
-        before, mark = mark, now.selectExpr("count(*)", "bit_xor(xxhash64(a, b))").first()
+        new = durable(_hang(_neighbourhood_least(now)), "stars", mark[0])  # a round never makes more edges
+        discard(now)
+        now, before, mark = new, mark, _mark(new)
         if before == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError("components did not settle")
