@@ -298,9 +298,10 @@ def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.loc[keep, ["a", "b"]]
 
 
-def candidate_pairs(tree: DataFrame) -> DataFrame:
-    spark = tree.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def candidate_pairs(tree: DataFrame, part_tokens: int = 1 << 20) -> DataFrame:
+    """Pairs of leaves that may hold linked sets. Parts are as many as the prefixes need at ``part_tokens`` shingles each, whatever the number of shuffle partitions, so that a part stays small and a pair is met in few."""
+    total = tree.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    parts = max(1, -(-total // (6 * part_tokens)))
     posted = tree.select("leaf", "low", "high", "prefix").mapInPandas(_post(parts), "part int, leaf binary, low binary, high binary, count binary, token binary")
     met = posted.groupBy("part").applyInPandas(_meet, "a long, b long, shared long, need long")
     met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter(28 * F.col("shared") > F.col("need")).select("a", "b")
