@@ -43,6 +43,8 @@ from strandloom.llm.text import Words, chunks, mix, shingle_runs
 #: Fixed values of the contract: SHARE / 100 of the union must be common.
 WORDS, SHARE = 5, 75
 LEAF, FAN = 256, 8
+#: Node pairs that the dual traversal opens at once.
+SLICE = 1 << 12
 
 
 def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -335,26 +337,24 @@ class Tree:
         return x[keep], y[keep]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal from the root against itself; set pairs x < y that no bound excludes."""
+        """Dual traversal from the root against itself; set pairs x < y that no bound excludes. Goes depth first in slices, so a level never holds more than one slice's children."""
         top = len(self.levels) - 1
         k = len(self.levels[top][0])
-        x, y = np.triu_indices(k, 1 if top == 0 else 0)
-        todo = [(top, x, y)]
-        while todo:
-            level, x, y = todo.pop()
-            x, y = self.survivors(level, x, y)
-            if not len(x):
-                continue
-            if level == 0:
+        return self._below(top, *np.triu_indices(k, 1 if top == 0 else 0))
+
+    def _below(self, level: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = self.survivors(level, x, y)
+        if level == 0:
+            if len(x):
                 yield x, y
-                continue
-            width = len(self.levels[level - 1][0])
-            for at in range(0, len(x), 1 << 12):
-                i = (x[at : at + (1 << 12), None, None] * FAN + np.arange(FAN)[None, :, None]) + np.zeros((1, 1, FAN), np.int64)
-                j = (y[at : at + (1 << 12), None, None] * FAN + np.arange(FAN)[None, None, :]) + np.zeros((1, FAN, 1), np.int64)
-                i, j = i.ravel(), j.ravel()
-                ok = (i < width) & (j < width) & ((i < j) if level == 1 else (i <= j))
-                todo.append((level - 1, i[ok], j[ok]))
+            return
+        width = len(self.levels[level - 1][0])
+        for at in range(0, len(x), SLICE):
+            i = (x[at : at + SLICE, None, None] * FAN + np.arange(FAN)[None, :, None]) + np.zeros((1, 1, FAN), np.int64)
+            j = (y[at : at + SLICE, None, None] * FAN + np.arange(FAN)[None, None, :]) + np.zeros((1, FAN, 1), np.int64)
+            i, j = i.ravel(), j.ravel()
+            ok = (i < width) & (j < width) & ((i < j) if level == 1 else (i <= j))
+            yield from self._below(level - 1, i[ok], j[ok])
 
 
 def _verify(sid: np.ndarray, block: np.ndarray, copies: np.ndarray, tokens: list[np.ndarray], cross: bool) -> pd.DataFrame:
