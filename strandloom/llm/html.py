@@ -7,24 +7,30 @@ audio, video and canvas have only for browsers without them). Formulas, text of
 drawings and forms and the fallback of objects are shown; of a select all
 options are. A renderer emits all visible text with
 blank lines between blocks, list markers, kept line breaks in ``pre`` and table
-cells aligned in columns.
-
-Null html gives null text; empty html gives an empty text. Elements nested
-deeper than ``DEPTH`` are read as if they were their ancestor at that depth, so
-no text is lost and no recursion runs away.
+cells aligned in columns, also those of several lines or rows. ``aria-hidden``
+speaks to screen readers only, so such text is shown.
+
+Null html gives null text; empty html gives an empty text; an empty table gives
+no rows; repeated rows are rendered each. Columns besides page_id and html are
+ignored. What is nested deeper than ``DEPTH`` is drawn by its ancestor at that
+depth (browsers do the same), but still hidden and closed by its own elements.
+Scanning takes time in proportion to a page's length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-DEPTH = 120
+#: Fixed values of browsers and of the HTML standard: depth of a tree, widest cell, tallest cell.
+DEPTH, COLUMNS, ROWS = 512, 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas annotation annotation-xml".split())
@@ -46,17 +52,38 @@ CLOSES = {
     "option": (("option",), ("select", "datalist", "optgroup")),
     "body": (("head",), ()),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
+#: A quote opens a value only after "="; what is left open runs to the end. Possessive, so nothing is read twice.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*"[^"]*+(?:"|\Z)|=\s*'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 HIDING = re.compile(r"(?i)\b(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "inner")
+    __slots__ = ("tag", "attributes", "inner", "unseen")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.inner = tag, attributes, []
+        self.tag, self.attributes, self.inner, self.unseen = tag, attributes, [], False
+
+
+class Open:
+    """Open elements, with how many there are of each tag."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.count = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        for gone in self.nodes[at:]:
+            self.count[gone.tag] -= 1
+        del self.nodes[at:]
+
+    def add(self, what: Node | str) -> None:
+        if not self.nodes[-1].unseen:
+            self.nodes[min(len(self.nodes), DEPTH) - 1].inner.append(what)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -65,12 +92,12 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def parse(page: str) -> Node:
     root = Node("html", {})
-    stack, at, end = [root], 0, len(page)
+    opened, at, end = Open(root), 0, len(page)
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
-            stack[-1].inner.append(entities.unescape(text))
+            opened.add(entities.unescape(text))
         if not m:
             break
         at = m.end()
@@ -78,53 +105,65 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            _close(opened, tag)
             continue
-        _imply(stack, tag)
+        _imply(opened, tag)
         node = Node(tag, _attributes(m[3]))
-        if tag in UNDRAWN and any(x.tag == "svg" for x in stack):
+        if tag in UNDRAWN and opened.count["svg"]:
             node.attributes["hidden"] = ""
-        stack[-1].inner.append(node)
+        node.unseen = opened.nodes[-1].unseen or not visible(node)
+        if not node.unseen:
+            opened.add(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             body = page[at : close.start() if close else end]
             node.inner.append(entities.unescape(body) if tag in ("title", "textarea") else body)
             at = close.end() if close else end
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
+            opened.push(node)
     return root
 
 
-def _imply(stack: list[Node], tag: str) -> None:
-    if tag in BLOCK:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
+def _close(opened: Open, tag: str) -> None:
+    if not opened.count[tag]:
+        return
+    for i in range(len(opened.nodes) - 1, 0, -1):
+        its = opened.nodes[i].tag
+        if its == tag:
+            opened.cut(i)
+            return
+        if its in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+            return
+
+
+def _imply(opened: Open, tag: str) -> None:
+    if tag in BLOCK and opened.count["p"]:
+        for i in range(len(opened.nodes) - 1, 0, -1):
+            its = opened.nodes[i].tag
+            if its == "p":
+                opened.cut(i)
                 break
-            if stack[i].tag in ("td", "th", "table", "li", "button", "object", "div", "article", "section", "body"):
+            if its in ("td", "th", "table", "li", "button", "object", "div", "article", "section", "body"):
                 break
     if tag in CLOSES:
         shut, until = CLOSES[tag]
+        if not any(opened.count[s] for s in shut):
+            return
         lowest = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
+        for i in range(len(opened.nodes) - 1, 0, -1):
+            if opened.nodes[i].tag in until:
                 break
-            if stack[i].tag in shut:
+            if opened.nodes[i].tag in shut:
                 lowest = i
         if lowest is not None:
-            del stack[lowest:]
+            opened.cut(lowest)
 
 
 def visible(node: Node) -> bool:
     a = node.attributes
     if node.tag in UNSEEN:
         return False
-    return not a or not ("hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" or HIDING.search(a.get("style", "")))
+    return not a or not ("hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "input" or HIDING.search(a.get("style", "")))
 
 
 class Page:
@@ -133,6 +172,7 @@ class Page:
     def __init__(self):
         self.lines: list[str] = []
         self.now, self.gap, self.space, self.indent = "", 0, False, ""
+        self.marked = False  # the line has only a list marker, which the item's first block joins
 
     def words(self, text: str) -> None:
         pieces = SPACES.split(text)
@@ -150,7 +190,7 @@ class Page:
             if self.space and self.now and not self.now.endswith((" ", "\t")):
                 self.now += " "
             self.now += word
-            self.space = False
+            self.space = self.marked = False
 
     def _open(self) -> None:
         if not self.now:
@@ -163,8 +203,15 @@ class Page:
         self.line(1)
         self._open()
         self.now += marker
+        self.marked = True
+
+    def unmark(self) -> None:
+        self.marked = False
+        self.line(1)
 
     def line(self, gap: int) -> None:
+        if self.marked:
+            return
         if self.now:
             self.lines.append(self.now.rstrip())
             self.now = ""
@@ -175,11 +222,13 @@ class Page:
         first, *rest = text.expandtabs(8).split("\n")
         self._open()
         self.now += first
+        self.marked = False
         for r in rest:
             self.lines.append(self.now.rstrip())
             self.now = self.indent + r
 
     def text(self) -> str:
+        self.marked = False
         self.line(0)
         return "\n".join(self.lines).strip("\n")
 
@@ -189,7 +238,7 @@ def _render(node: Node, page: Page, pre: bool) -> None:
     if tag == "br":
         page._open()
         page.lines.append(page.now.rstrip())
-        page.now = ""
+        page.now, page.marked = "", False
         return
     if tag == "hr":
         page.line(2)
@@ -198,7 +247,7 @@ def _render(node: Node, page: Page, pre: bool) -> None:
         page.words(" " + node.attributes.get("alt", "") + " ")
         return
     if tag == "table":
-        _table(node, page)
+        _table(node, page, pre)
         return
     if tag in ("textarea", "option", "optgroup"):
         page.line(1)
@@ -241,15 +290,16 @@ def _list(node: Node, page: Page, pre: bool) -> None:
         elif visible(x):
             if x.tag == "li":
                 number += 1
+                page.marked = False
                 marker = f"{number}. " if node.tag == "ol" else "- "
                 page.mark(marker)
                 page.indent = was + " " * len(marker)
                 for y in x.inner:
                     if isinstance(y, str):
-                        page.words(y)
+                        page.verbatim(y) if pre else page.words(y)
                     elif visible(y):
                         _render(y, page, pre)
-                page.line(1)
+                page.unmark()
                 page.indent = was
             else:
                 _render(x, page, pre)
@@ -260,23 +310,63 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
-def _cell(node: Node) -> str:
+def _padded(text: str, wide: int) -> str:
+    return text + " " * (wide - _width(text))
+
+
+def _cell(node: Node, pre: bool) -> list[str]:
     inner = Page()
     for x in node.inner:
         if isinstance(x, str):
-            inner.words(x)
+            inner.verbatim(x) if pre else inner.words(x)
         elif visible(x):
-            _render(x, inner, False)
-    return " ".join(inner.text().split())
+            _render(x, inner, pre)
+    return inner.text().split("\n")
+
 
+def _span(node: Node, name: str, most: int) -> int:
+    raw = node.attributes.get(name, "1").strip()
+    return min(most, int(raw[:9])) if raw.isascii() and raw.isdigit() else 1
 
-def _span(node: Node) -> int:
-    raw = node.attributes.get("colspan", "1")
-    return max(1, min(100, int(raw))) if raw.isdigit() and len(raw) < 5 else 1
 
+class Grid:
+    """Rows of cells, each a list of lines. A cell of several rows keeps its columns free below; rowspan 0 reaches to the end of the row group."""
 
-def _table(node: Node, page: Page) -> None:
-    rows: list[list[str]] = []
+    def __init__(self):
+        self.rows: list[list[list[str]]] = []
+        self.below: dict[int, int] = {}
+
+    def group(self) -> None:
+        self.below.clear()
+
+    def row(self, cells: list[tuple[list[str], int, int]]) -> None:
+        row: list[list[str]] = []
+        taken, self.below = self.below, {c: n - 1 for c, n in self.below.items() if n > 1}
+        for lines, wide, tall in cells:
+            while len(row) in taken:
+                row.append([""])
+            for c in range(len(row), len(row) + wide) if tall > 1 else ():
+                self.below[c] = tall - 1
+            row += [lines, *([""] for _ in range(wide - 1))]
+        self.rows.append(row)
+
+    def draw(self, page: Page) -> None:
+        wide = [0] * max(map(len, self.rows), default=0)
+        for r in self.rows:
+            for j, lines in enumerate(r):
+                wide[j] = max(wide[j], *map(_width, lines))
+        for r in self.rows:
+            for k in range(max(map(len, r), default=0)):
+                line = "  ".join(_padded(c[k] if k < len(c) else "", wide[j]) for j, c in enumerate(r)).rstrip()
+                if line:
+                    page._open()
+                    page.now += line
+                    page.marked = False
+                    page.line(1)
+
+
+def _table(node: Node, page: Page, pre: bool) -> None:
+    grid = Grid()
     page.line(2)
     todo = list(reversed(node.inner))
     while todo:
@@ -287,34 +377,31 @@ def _table(node: Node, page: Page) -> None:
         elif not visible(x):
             continue
         elif x.tag in ("tbody", "thead", "tfoot", "colgroup", "form"):
+            grid.group()
             todo.extend(reversed(x.inner))
         elif x.tag == "tr":
-            row: list[str] = []
+            cells = []
             for y in x.inner:
                 if isinstance(y, str):
                     if y.strip():
-                        row.append(" ".join(y.split()))
+                        cells.append(([" ".join(y.split())], 1, 1))
                 elif visible(y):
-                    row += [_cell(y)] + [""] * (_span(y) - 1)
-            rows.append(row)
+                    cells.append((_cell(y, pre), max(1, _span(y, "colspan", COLUMNS)), _span(y, "rowspan", ROWS) or ROWS))
+            grid.row(cells)
         elif x.tag in ("td", "th"):
-            rows.append([_cell(x)])
+            grid.row([(_cell(x, pre), 1, 1)])
         else:
-            _render(x, page, False)
+            _render(x, page, pre)
             page.line(1)
     page.line(1)
-    wide = [max((_width(r[j]) for r in rows if j < len(r)), default=0) for j in range(max(map(len, rows), default=0))]
-    for r in rows:
-        text = "  ".join(c + " " * (wide[j] - _width(c)) for j, c in enumerate(r)).rstrip()
-        if text:
-            page._open()
-            page.now += text
-            page.line(1)
+    grid.draw(page)
     page.line(2)
 
 
 def render(page: str) -> str:
     out = Page()
+    if sys.getrecursionlimit() < 16 * DEPTH:
+        sys.setrecursionlimit(16 * DEPTH)
     _render(parse(page), out, False)
     return out.text()
 

@@ -1,6 +1,7 @@
 """Each operator against brute force or exact expectations, and on awkward rows."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -269,7 +270,34 @@ def test_html_shows_formulas_drawings_and_forms():
     assert html.render("<select><optgroup label=G><option>a<option>b</select><object data=x>instead</object><datalist><option>no</datalist>") == "G\na\nb\ninstead"
 
 
+def test_html_cells_of_several_rows_and_lines():
+    assert html.render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert html.render("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>") == "A  B\n   C\n   D"
+    assert html.render("<table><tr><td><pre>k  l\n m</pre><td>z</table>") == "k  l  z\n m"
+    assert html.render("<table><tr><td><table><tr><td>a<td>b<tr><td>cc<td>d</table><td>z</table>") == "a   b  z\ncc  d"
+    assert html.render("<ul><li><pre>k  l</pre><li><li>x<ul><li>y</ul></ul>") == "- k  l\n\n-\n- x\n\n  - y"
+    assert html.render("<table><tr><td colspan=300>a<td>b<tr><td>c</table>").split() == ["a", "b", "c"]
+
+
+def test_html_hides_at_any_depth():
+    assert html.render("<div>" * 2000 + '<span style="display:none">no<b>no</b></span>x') == "x"
+    assert html.render("<b>" * 2000 + "<p>a<p>b" + "</b>" * 2000 + "c").split() == ["a", "bc"]
+    assert html.render('<p aria-hidden="true">seen') == "seen"
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a "', "<a =", "<b>", "</b>", "<div><p>", "<!--", "<a b='"])
+def test_html_takes_linear_time(piece):
+    began = time.process_time()
+    html.render(piece * 50_000 + '"')
+    assert time.process_time() - began < 20
+
+
 def test_html_rows(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "<p>a b", "u", 7), (1, "<p>a b", "u", 7)], "page_id long, html string, text string, n_words int")
+    assert [(r.page_id, r.text, r.n_words) for r in html.extract(clash).collect()] == [(1, "a b", 2)] * 2
+    long = "<p>word " * 200_000
+    assert [r.n_words for r in html.extract(spark.createDataFrame([(1, long)], "page_id long, html string")).collect()] == [200_000]
     frame = spark.createDataFrame([(1, "u", "<p>a b"), (2, None, None), (2, None, ""), (None, "u", "<td>x")], "page_id long, url string, html string")
     assert Counter((r.page_id, r.text, r.n_words) for r in html.extract(frame).collect()) == Counter([(1, "a b", 2), (2, None, 0), (2, "", 0), (None, "x", 1)])
 
