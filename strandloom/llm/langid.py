@@ -3,12 +3,18 @@
 Texts are lower-cased; letters are kept and every other run of characters is one
 blank. The 1- to 3-grams are hashed to ``buckets`` columns; counts of the
 training rows give a matrix of log probabilities with add-``alpha`` smoothing,
-which is broadcast (languages x buckets x 4 bytes, bounded by ``most_langs``).
-Scoring sums matrix rows over a text's n-grams, batch by batch.
+which is broadcast. Every language of the training rows is learned; above
+``cells`` / ``buckets`` of them the columns become fewer, so that the matrix
+stays within ``cells`` numbers up to ``cells`` / 256 languages. Scoring sums
+matrix rows over a text's n-grams, batch by batch. Languages have equal priors,
+as each is fitted on a sample of its own.
 
 The matrix is fitted on at most ``fit_rows`` rows of each language, those of
-least hash of their id. Null texts and texts without a letter are ``und`` with
-score 0; without training rows all are.
+least hash of their id, of at most ``fit_chars`` characters (longer
+ones only where a language has too few others). Null texts and texts without a
+letter are ``und`` with score 0; without training rows all are. A null id is in no fold: its
+``held_out`` is null and it isn't learned from. Repeated rows are judged each; an
+empty table gives no rows; columns besides doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ def held_out(doc_id):
 def _table() -> np.ndarray:
     """Code point to its lower-case letter, or 0 where it is no letter."""
     found = np.zeros(0x110000, np.uint32)
-    for code in range(0x30000):
+    for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
             low = c.lower()
@@ -75,19 +81,22 @@ def grams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(columns), np.concatenate(owners), has
 
 
-def fit(docs: DataFrame, fit_rows: int = 1000, fit_chars: int = 20_000, buckets: int = 1 << 15, alpha: float = 0.5, most_langs: int = 400) -> tuple[list[str], np.ndarray]:
-    """Learned language values and the log-probability matrix. Uses text and lang only; of longer texts none is chosen above ``fit_chars``."""
+def fit(docs: DataFrame, fit_rows: int = 1000, fit_chars: int = 20_000, buckets: int = 1 << 15, alpha: float = 0.5, cells: int = 1 << 24) -> tuple[list[str], np.ndarray]:
+    """Learned language values and the log-probability matrix. Uses text and lang only; texts above ``fit_chars`` are chosen last."""
     size = F.length("text")
-    rows = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (size > 0) & (size <= fit_chars))
+    rows = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (size > 0))
     rows = rows.withColumn("turn", F.xxhash64("doc_id"))
     # a first cut by hash bounds what the ranking below has to hold
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, buckets), np.float32)
-    part = F.pmod("turn", F.lit(1 << 20))
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 20, int((1 << 20) * 2 * fit_rows / n) + 1)))])[F.col("lang")]
-    few = rows.filter(part < limit).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id", "text"))).filter(F.col("rank") <= fit_rows)
     langs = sorted(counts)
+    while buckets > 256 and buckets * len(langs) > cells:
+        buckets >>= 1
+    part = F.pmod("turn", F.lit(1 << 20))
+    cut = docs.sparkSession.createDataFrame([(k, min(1 << 20, int((1 << 20) * 2 * fit_rows / n) + 1)) for k, n in counts.items()], "lang string, cut long")
+    first = Window.partitionBy("lang").orderBy(F.length("text") > fit_chars, "turn", "doc_id", "text")
+    few = rows.join(cut, "lang").filter(part < F.col("cut")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= fit_rows)
     place = {k: i for i, k in enumerate(langs)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
