@@ -8,7 +8,10 @@ that the dictionaries haven't seen.
 The fit uses at most ``fit_rows`` labelled rows of each class, those of least
 hash of their id; every text is scored whole. Null and empty texts have no
 difference and get the curve's value there. Rows whose id is null are scored
-too. Columns besides doc_id and text are ignored.
+too, with a null ``held_out``, and never learned from; of conflicting labels of
+one id the larger counts. Repeated rows are scored each; an empty table gives no
+rows. Columns besides doc_id and text are ignored. A dictionary has room for
+``dict_bytes``: texts beyond their share of it give pieces spread over them.
 """
 
 from __future__ import annotations
@@ -100,11 +103,19 @@ def _content(raw: list[bytes], dict_bytes: int) -> bytes:
     """Texts in turn, each with an equal share of the room that is left."""
     out, room = [], dict_bytes
     for i, text in enumerate(sorted(raw, key=len)):
-        out.append(text[: max(1, room // (len(raw) - i))])
+        out.append(_spread(text, max(1, room // (len(raw) - i))))
         room -= len(out[-1])
     return b"".join(out) or b"\0" * 8
 
 
+def _spread(text: bytes, room: int, piece: int = 256) -> bytes:
+    """The whole text, or else pieces of it at even distances from its start to its end."""
+    if len(text) <= room:
+        return text
+    n = max(1, room // piece)
+    return b"".join(text[at : at + room // n] for at in np.linspace(0, len(text) - room // n, n).astype(int))
+
+
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score, predicted of every row."""
 

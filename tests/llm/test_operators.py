@@ -314,6 +314,35 @@ def test_language(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_language_learns_every_value(spark):
+    rows = [(i * 10 + j, chr(0x4E00 + i) * 30, f"l{i:03}") for i in range(450) for j in range(4)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    langs, matrix = langid.fit(docs(spark, rows), cells=1 << 20)
+    assert len(langs) == len({r[2] for r in rows}) and matrix.shape == (len(langs), 2048)
+    long = [(1, "abcd " * 9, "a"), (3, "xyz " * 9, "b"), (4, "xyz " * 9, "b")]
+    assert zlib.crc32(b"1") % 4 != 2 and langid.fit(docs(spark, long), fit_chars=10)[0] == sorted({r[2] for r in long if zlib.crc32(str(r[0]).encode()) % 4 != 2})
+    assert langid.grams([chr(0x30001) * 20], 64)[2].all()
+
+
+def test_language_scores_match_plain_naive_bayes(spark):
+    rows = [(i, "".join(np.random.default_rng(i).choice(list("abcd efgh"[(i % 3) :]), 40)), "xyz"[i % 3]) for i in range(60)]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, rows), buckets=1 << 10).collect()}
+
+    def columns(text):
+        return langid.grams([text], 1 << 10)[0].tolist()
+
+    counts = {k: Counter() for k in "xyz"}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(columns(text))
+    for i, text, _ in rows:
+        its = columns(text)
+        total = {k: sum(np.log((c[x] + 0.5) / (sum(c.values()) + 512)) for x in its) / len(its) ** 0.5 for k, c in counts.items()}
+        best = max(total, key=total.get)
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - 1 / sum(np.exp(v - total[best]) for v in total.values())) < 1e-3
+
+
 def test_language_scores_match_a_plain_sum():
     langs, matrix = ["a", "b"], np.random.default_rng(0).standard_normal((2, 64)).astype(np.float32)
     column, owner, has = langid.grams(["ab c", None, "1"], 64)
