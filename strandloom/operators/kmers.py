@@ -14,12 +14,19 @@ def windows(seq: Column | str, k: int) -> Column:
 
 def explode(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """kept columns, pos (from 0), kmer."""
-    return reads.filter(F.length("seq") >= k).select(*keep, F.posexplode(windows("seq", k)).alias("pos", "kmer"))
+    rows = reads.filter(F.length("seq") >= k).select(*dict.fromkeys([*keep, "seq"]), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    return rows.select(*keep, "pos", dna.substr("seq", F.col("pos") + 1, k).alias("kmer"))
+
+
+def both_strands(reads: DataFrame, k: int, *keep: str) -> DataFrame:
+    """kept columns, pos, kmer, rc. A read is reverse complemented once; its k-mers' reverse complements are pieces of that."""
+    rows = reads.filter(F.length("seq") >= k).select(*dict.fromkeys([*keep, "seq"]), dna.revcomp("seq").alias("_rc"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    return rows.select(*keep, "pos", dna.substr("seq", F.col("pos") + 1, k).alias("kmer"), dna.substr("_rc", F.length("seq") - k - F.col("pos") + 1, k).alias("rc"))
 
 
 def strand_counts(reads: DataFrame, k: int) -> DataFrame:
     """canon, fw, rv: occurrences of the canonical k-mer and of its reverse complement. A palindrome counts for both strands."""
-    found = explode(reads, k).select("kmer", dna.revcomp("kmer").alias("rc"))
+    found = both_strands(reads, k)
     same = F.col("kmer") <= F.col("rc")
     other = F.col("kmer") >= F.col("rc")
     return found.groupBy(F.least("kmer", "rc").alias("canon")).agg(F.sum(same.cast("long")).alias("fw"), F.sum(other.cast("long")).alias("rv"))
@@ -28,7 +35,7 @@ def strand_counts(reads: DataFrame, k: int) -> DataFrame:
 def located(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """Each k-mer of each read with its counts on its own strand (same) and the other (revc)."""
     counts = strand_counts(reads, k)
-    rows = explode(reads, k, *keep).withColumn("canon", dna.canonical("kmer"))
+    rows = both_strands(reads, k, *keep).select(*keep, "pos", "kmer", F.least("kmer", "rc").alias("canon"))
     first = F.col("kmer") == F.col("canon")
     return rows.join(counts, "canon").select(*keep, "pos", "kmer", F.when(first, F.col("fw")).otherwise(F.col("rv")).alias("same"), F.when(first, F.col("rv")).otherwise(F.col("fw")).alias("revc"))
 
@@ -96,8 +103,8 @@ def extensions(reads: DataFrame, k: int) -> DataFrame:
 
 def neighbours(reads: DataFrame, k: int) -> DataFrame:
     """kmer, out_degree, in_degree over both strands' distinct k-mers: one row an oriented k-mer of the reads."""
-    found = explode(reads, k).select("kmer")
-    both = found.unionAll(found.select(dna.revcomp("kmer").alias("kmer"))).distinct()
+    found = both_strands(reads, k)
+    both = found.select("kmer").unionAll(found.select(F.col("rc").alias("kmer"))).distinct()
     link = both.select("kmer", F.substring("kmer", 2, k - 1).alias("tail"), F.left("kmer", F.lit(k - 1)).alias("head"))
     after = link.groupBy("head").agg(F.count("*").alias("out_degree"))
     before = link.groupBy("tail").agg(F.count("*").alias("in_degree"))

@@ -58,7 +58,7 @@ def homopolymer_check(reads: DataFrame) -> DataFrame:
     wanted = rows.select(dna.canonical("kmer").alias("canon")).distinct()
     found = None
     for k in range(CONTEXT - 2, CONTEXT + 3):
-        part = kmers.explode(reads, k).select("kmer", dna.revcomp("kmer").alias("rc"))
+        part = kmers.both_strands(reads, k).select("kmer", "rc")
         found = part if found is None else found.unionAll(part)
     found = found.select(F.least("kmer", "rc").alias("canon"), (1 + (F.col("kmer") == F.col("rc")).cast("long")).alias("n"))
     counts = found.join(wanted, "canon", "left_semi").groupBy("canon").agg(F.sum("n").alias("n"))  # few k-mers are asked for
