@@ -34,15 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.graph import components
 from strandloom.llm.storage import durable
-from strandloom.llm.text import Words, chunks, mix, shingle_runs
+from strandloom.llm.text import WORD, Words, chunks, mix, shingle_runs
 
 #: Fixed values of the contract: SHARE / 100 of the union must be common.
 WORDS, SHARE = 5, 75
 LEAF, FAN = 256, 8
+#: Tells the rows of one id apart by their texts.
+ROW = "xxhash64(doc_id, text)"
 #: Node pairs that the dual traversal opens at once.
 SLICE = 1 << 12
 
@@ -118,7 +120,7 @@ def prefix_size(n: int) -> int:
 
 
 def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, sid (digest of the set), lead, second, ones, prefix, bits. The last five are null on all but a task's first row of a set."""
+    """doc_id, row (hash of id and text), n_shingles, sid (digest of the set), lead, second, ones, prefix, bits. The last five are null on all but a task's first row of a set."""
     rank = np.argsort(heavy)
     sent = docs.sparkSession.sparkContext.broadcast((heavy[rank], rank))
 
@@ -127,7 +129,7 @@ def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFram
         seen: set[int] = set()
         for piece in chunks(frames):
             rows = []
-            for doc, s in zip(piece["doc_id"], _sets(_texts(piece), words)):
+            for doc, row, s in zip(piece["doc_id"], piece["row"], _sets(_texts(piece), words)):
                 sid, lead, second, ones, prefix, bits = _digest(s), None, None, None, None, None
                 if len(s) and sid not in seen:
                     seen.add(sid)
@@ -143,13 +145,13 @@ def profiles(docs: DataFrame, heavy: np.ndarray, words: int = WORDS) -> DataFram
                         first = s[:p]
                     (lead, second), prefix, bits = _leads(s), _short(first), bitmap(s, _bits(len(s)))
                     ones, bits = _ones(bits), bits.tobytes()
-                rows.append((doc, len(s), sid, lead, second, ones, prefix, bits))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "sid", "lead", "second", "ones", "prefix", "bits"])
+                rows.append((doc, row, len(s), sid, lead, second, ones, prefix, bits))
+            out = pd.DataFrame(rows, columns=["doc_id", "row", "n_shingles", "sid", "lead", "second", "ones", "prefix", "bits"])
             for c in ("doc_id", "lead", "second", "ones"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, sid long, lead long, second long, ones long, prefix binary, bits binary")
+    return docs.select("doc_id", "text", F.expr(ROW).alias("row")).mapInPandas(run, "doc_id long, row long, n_shingles long, sid long, lead long, second long, ones long, prefix binary, bits binary")
 
 
 def _short(tokens: np.ndarray) -> bytes:
@@ -444,6 +446,11 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 24)
 
 def join(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row. n_links counts all other rows that a row links with, copies included."""
+    return _joined(docs, words, group_shingles).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _joined(docs: DataFrame, words: int, group_shingles: int) -> DataFrame:
+    """As ``join``, with row and root, which tells components apart whose least id is the same."""
     held = durable(profiles(docs, heavy_shingles(docs, words), words), "profiles")
     full = held.filter(F.col("n_shingles") > 0)
     classes = durable(full.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.min(F.when(F.col("lead").isNotNull(), F.col("doc_id"))).alias("carrier")), "classes")
@@ -466,12 +473,27 @@ def join(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 << 21) ->
         roots = components(checked.select(F.col("sid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "sid").withColumnRenamed("root", "top")
         links = links.drop("root").join(roots, "sid", "left").select("sid", "links", F.coalesce("top", "sid").alias("root"))
     found = classes.join(links, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id", "n_links")
-    out = held.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "root", "component_id", "n_links")
+    out = held.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
+    return out.select("doc_id", "row", "root", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each component, that of the least id; rows without shingles all stay, as do rows without an id."""
-    gone = join(docs, words).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def deduplicate(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 << 21) -> DataFrame:
+    """One row of each component, with all columns as they were: that of the least id (no id counts as the largest) and, of several texts of that id, of the least hash.
+
+    Rows are told apart by id and text, so another text under the id of a dropped
+    row stays. Of repeated rows one stays, that whose other columns come first as
+    JSON. Rows without words link with nothing and all stay.
+    """
+    found = durable(_joined(docs, words, group_shingles).filter(F.col("n_shingles") > 0).select("root", "doc_id", "row"), "decisions")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    stays = durable(first.select(F.col("first.row").alias("_row")), "stays")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = docs.withColumn("_row", F.expr(ROW)).join(stays.withColumn("_stays", F.lit(True)), "_row", "left").filter(F.col("_stays") | ~has_words)
+    again = found.groupBy("row").count().filter(F.col("count") > 1).join(stays, F.col("row") == F.col("_row"), "left_semi")
+    if again.limit(1).count():
+        others = F.to_json(F.struct(*[c for c, name in zip(names, docs.columns) if name not in ("doc_id", "text")]))
+        turn = F.row_number().over(Window.partitionBy("_row").orderBy(others))
+        kept = kept.withColumn("_turn", turn).filter((F.col("_turn") == 1) | ~has_words)
+    return kept.select(*names)

@@ -95,6 +95,24 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 9]
 
 
+def test_deduplicate_goes_by_row(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(5, a), (5, a), (7, a), (7, b), (None, near(a, 0, 1)), (None, c), (None, c), (None, None), (None, None), (8, ""), (8, "")]
+    got = Counter((r.doc_id, r.text) for r in jaccard.deduplicate(docs(spark, rows)).collect())
+    assert got == Counter([(5, a), (7, b), (None, c), (None, None), (None, None), (8, ""), (8, "")])
+    assert jaccard.deduplicate(docs(spark, [])).count() == 0
+
+
+def test_clean_goes_by_text(spark):
+    item = " ".join(f"word{i}" for i in range(12))
+    rows = [(1, prose(50, 1)), (1, f"{prose(20, 2)} {item} {prose(20, 3)}"), (None, item), (2, None), (2, ""), (3, prose(50, 4)), (3, prose(50, 4))]
+    frame = docs(spark, rows).withColumn("dotted.name", F.lit(1))
+    kept = decontaminate.clean(frame, spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, prose(50, 1)), (2, ""), (2, ""), (3, prose(50, 4)), (3, prose(50, 4))])
+    assert decontaminate.clean(docs(spark, []), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=30))
 def test_tree_loses_no_pair(sets):
