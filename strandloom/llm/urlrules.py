@@ -8,7 +8,9 @@ without a token of two letters are tried on every url.
 List rules (host and path prefix) are such rules too: the longest that fits
 gives ``rule`` and the verdict. Where none fits, the url is blocked if a content
 rule fits and allowed otherwise. Null urls and urls without ``://`` have an
-empty host and path, no rule, and are allowed.
+empty host and path, no rule, and are allowed. Of list rules of one name the
+first counts. Repeated rows are judged each; an empty table gives no rows;
+columns besides page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -60,13 +62,20 @@ def parts(url):
     return host, path
 
 
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules from a table of verdict, host, path and word: a list rule where host isn't null, else a content rule of the word. A rule list is read by the driver and sent to every task; it doesn't grow with the pages."""
+    rows = table.select("verdict", "host", "path", "word").distinct().collect()
+    listed = sorted({listed_rule(r.verdict, r.host, r.path or "") for r in rows if r.host is not None}, key=lambda r: (r.name, r.verdict))
+    return listed + [content_rule(w) for w in sorted({r.word for r in rows if r.host is None and r.word})]
+
+
 def token_counts(split: DataFrame, wanted: list[str]) -> dict[str, int]:
     """Urls that hold each of the rules' tokens (as many rows as rules have tokens, whatever the table's size)."""
     if not wanted:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(r"([a-z0-9]{2,})"), F.lit(1)))
-    row = split.select([F.sum(F.array_contains(tokens, t).cast("long")).alias(f"t{i}") for i, t in enumerate(wanted)]).first()
-    return {t: row[i] or 0 for i, t in enumerate(wanted)}
+    rows = split.select(F.explode(tokens).alias("token")).filter(F.col("token").isin(wanted)).groupBy("token").count().collect()
+    return {t: 0 for t in wanted} | {r.token: r["count"] for r in rows}
 
 
 def judge(pages: DataFrame, found: list[Rule] | None = None) -> DataFrame:

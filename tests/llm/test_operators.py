@@ -386,6 +386,18 @@ def test_url_rules(spark):
             assert (r.host, r.path, r.rule, r.verdict) == judge_plainly(urls[r.page_id]), urls[r.page_id]
 
 
+def test_url_rules_of_a_table(spark):
+    table = spark.createDataFrame([("block", f"site{i}.net", "/a", None) for i in range(3000)] + [(None, None, None, "spam"), ("allow", "site7.net", "/a/b", None), ("allow", "site7.net", "/a/b", None)], "verdict string, host string, path string, word string")
+    found = urlrules.rules_of(table)
+    assert len(found) == 3002
+    urls = ["http://site5.net/a", "http://x.site2999.net/abc", "http://site7.net/a/b", "http://other.net/spam", "http://site3000.net/a", None, "http://" + "a/" * 100_000]
+    pages = spark.createDataFrame([(i, u, "<p>", "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, html string, host string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(pages, found).collect()}
+    want = [("site5.net/a", "block"), ("site2999.net/a", "block"), ("site7.net/a/b", "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert [got[i] for i in range(14)] == want * 2
+    assert urlrules.judge(pages.limit(0), found).count() == 0
+
+
 def test_leaks(spark):
     items = [(i, " ".join(np.random.default_rng(5000 + i).choice([f"{a}{b}" for a in VOCABULARY[:60] for b in VOCABULARY[60:90]], 14 + i))) for i in range(20)] + [(50, None), (51, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
