@@ -6,10 +6,17 @@ drawn by a keyed permutation of the entity's own format: lengths, letter case,
 scripts, separators, country codes and check digits stay; names keep gender and
 script. The permutation has no fixed point and is one to one on a format, so
 equal entities stay equal in all documents (coreference) and different ones
-stay different; ``collisions`` checks that over a whole table.
+stay different. Mail addresses are the same in either case, telephone numbers,
+cards and accounts with any separators, and a surname after any title.
+
+``replace`` checks before it that no two entities of the whole table have one
+surrogate, and draws all anew under another key where they do. The key comes
+from the caller or the session's ``spark.strandloom.surrogates.key``; whoever
+has it can undo the surrogates, so the key of the source is for tests only.
 
 Null and empty texts have no entities and stay as they are; texts are read
-whole; other columns aren't looked at.
+whole; repeated rows get the same text; an empty table gives no rows; other
+columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-KEY = "strandloom"
+KEY, SETTING = "strandloom", "spark.strandloom.surrogates.key"
+#: Country calling codes of one and two digits; all others have three.
+CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 #: Names by script and gender.
 FIRST = {
@@ -127,28 +136,61 @@ def _listed(key: str, kind: str, name: str, names: list[str]) -> str:
     return names[shift(_key(key, kind, names[0]), names.index(name), len(names))]
 
 
+def _unlisted(key: str, kind: str, word: str) -> str:
+    """Walks the permutation on past listed names, so no other name's surrogate is one of those."""
+    out = reshape(key, kind, word)
+    while out in _LAST or out in _FIRST:
+        out = reshape(key, kind, out)
+    return out
+
+
 def _person(key: str, words: list[str], gender: str) -> list[str]:
+    """The last word is the surname, whatever the title; first names keep to their gender."""
     out = []
     for i, w in enumerate(words):
-        if w in _FIRST and (i < len(words) - 1 or w not in _LAST):
+        last = i == len(words) - 1
+        if w in _FIRST and (not last or w not in _LAST):
             out.append(_listed(key, "first", w, _FIRST[w][1]))
         elif w in _LAST:
             out.append(_listed(key, "last", w, _LAST[w]))
         else:
-            out.append(reshape(key, "person" + gender, w))
+            out.append(_unlisted(key, "surname" if last else "forename" + gender, w))
     return out
 
 
+def _lower(text: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _cased(new: str, old: str) -> str:
+    return "".join(n.upper() if o != o.lower() and len(n.upper()) == 1 else n for n, o in zip(new, old))
+
+
+def _calling(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CALLING), digits[:3])
+
+
+def _refill(text: str, digits: str) -> str:
+    fresh = iter(digits)
+    return re.sub(r"\d", lambda _: next(fresh), text)
+
+
+def identity(kind: str, text: str) -> str:
+    """What makes two mentions the same entity."""
+    if kind == "email":
+        return _lower(text)
+    return re.sub(r"[^\w+]", "", text) if kind in ("phone", "card", "iban") else text
+
+
 def surrogate(kind: str, text: str, key: str = KEY) -> str:
     if kind == "email":
-        local, _, domain = text.rpartition("@")
+        local, _, domain = _lower(text).rpartition("@")
         host, dot, top = domain.rpartition(".")
-        return reshape(key, "local", local) + "@" + reshape(key, "host", host) + dot + top
+        return _cased(reshape(key, "local", local) + "@" + reshape(key, "host", host) + dot + top, text)
     if kind == "card":
         digits = re.sub(r"\D", "", text)
         body = reshape(key, "card", digits[:-1])
-        fresh = iter(body + str(-_luhn_sum(body + "0") % 10))
-        return re.sub(r"\d", lambda _: next(fresh), text)
+        return _refill(text, body + str(-_luhn_sum(body + "0") % 10))
     if kind == "iban":
         flat = text.replace(" ", "")
         body = reshape(key, "iban", flat[4:])
@@ -166,8 +208,9 @@ def surrogate(kind: str, text: str, key: str = KEY) -> str:
             out.append(str(i + low))
         return ".".join(reversed(out))
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|", text)[0]
-        return code + reshape(key, "phone" + code, text[len(code) :])
+        digits = re.sub(r"\D", "", text)
+        code = _calling(digits) if text.startswith("+") else ""
+        return _refill(text, code + reshape(key, "phone+" + code if code else "phone", digits[len(code) :]))
     if kind == "titled":
         title, *words = text.split(" ")
         return " ".join([title, *_person(key, words, TITLES.get(title.rstrip("."), ""))])
@@ -205,9 +248,17 @@ def _cached(kind: str, text: str, key: str) -> str:
     return surrogate(kind, text, key)
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, tries: int = 5) -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds (one a found entity, in order) of every row."""
+    chosen = key or docs.sparkSession.conf.get(SETTING, KEY)
+    for turn in range(tries):
+        key = f"{chosen}\0{turn}" if turn else chosen
+        if not collisions(docs, key).limit(1).count():
+            return _replaced(docs, key)
+    raise RuntimeError("surrogates of different entities met under every key")
+
 
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             done = [_replace(t, key) if isinstance(t, str) else (None, []) for t in frame["text"]]
@@ -227,6 +278,37 @@ def mentions(docs: DataFrame, key: str = KEY) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, stop long, kind string, entity string, surrogate string")
 
 
-def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Surrogates that stand for more than one entity; empty unless formats overlap."""
-    return mentions(docs, key).groupBy("kind", "surrogate").agg(F.countDistinct("entity").alias("entities")).filter(F.col("entities") > 1)
+def _pairs(kind: str, old: str, new: str) -> Iterator[tuple[str, str, str]]:
+    """What must stay apart: whole entities, and of persons each name."""
+    if kind in ("titled", "name"):
+        words = list(zip(old.split(" "), new.split(" ")))[kind == "titled" :]
+        for i, (a, b) in enumerate(words):
+            yield ("surname" if i == len(words) - 1 else "forename"), a, b
+    else:
+        yield kind, identity(kind, old), identity(kind, new)
+
+
+def collisions(docs: DataFrame, key: str = KEY, flush: int = 1 << 16) -> DataFrame:
+    """kind, surrogate of surrogates that stand for more than one entity of the table; empty unless formats overlap. Only hashes of entities are sent, once a task and ``flush`` of them."""
+    number = lambda s: int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: set[tuple[str, str, str]] = set()
+
+        def done() -> pd.DataFrame:
+            rows = [(k, b, number(a)) for k, a, b in held]
+            held.clear()
+            return pd.DataFrame(rows, columns=["kind", "surrogate", "entity"])
+
+        for frame in frames:
+            for text in frame["text"]:
+                if isinstance(text, str):
+                    for a, b, kind, new in _replace(text, key)[1]:
+                        held.update(_pairs(kind, text[a:b], new))
+                    if len(held) >= flush:
+                        yield done()
+        if held:
+            yield done()
+
+    met = docs.select("text").mapInPandas(run, "kind string, surrogate string, entity long")
+    return met.groupBy("kind", "surrogate").agg(F.min("entity").alias("least"), F.max("entity").alias("most")).filter(F.col("least") != F.col("most")).select("kind", "surrogate")

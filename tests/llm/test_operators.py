@@ -207,6 +207,37 @@ def test_surrogates_keep_formats_and_identity(spark):
     assert pii.collisions(docs(spark, rows)).count() == 0
 
 
+def test_surrogates_keep_coreference(spark):
+    text = "Mr Nowak met Dr Nowak and Frau Anna-Lena. Jane.Roe@Mail.com is jane.roe@mail.com, +12015550199 is +1 201 555 0199 or +1 (201) 555-0199"
+    rows = [(1, text), (1, text), (2, "Ms Nowak, Jane.Roe@mail.com"), (3, "Mrs " + "Nowak " * 50000)]
+    got = [r.text for r in pii.replace(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert got[0] == got[1]
+    surname = got[0].split()[1]
+    assert surname != "Nowak" and got[0].split()[4] == surname and got[2].startswith(f"Ms {surname},")
+    one, two = re.findall(r"\S+@\S+com", got[0])
+    assert one.lower() == two and one != two and got[2].split()[-1].lower() == two
+    digits = {re.sub(r"\D", "", n) for n in re.findall(r"\+[\d ()-]+", got[0])}
+    assert len(digits) == 1 and digits.pop().startswith("1")
+
+
+def test_surrogates_by_the_sessions_key(spark):
+    frame = docs(spark, [(1, "Mr Smith, a.b@c.org")])
+    plain = pii.replace(frame).first().text
+    spark.conf.set(pii.SETTING, "another")
+    try:
+        assert pii.replace(frame).first().text != plain == pii.replace(frame, pii.KEY).first().text
+    finally:
+        spark.conf.unset(pii.SETTING)
+
+
+def test_surrogates_stay_apart(spark):
+    words = sorted({"".join(RNG.choice(list("abde"), 3)).capitalize() for _ in range(300)})
+    new = {w: pii.surrogate("titled", f"Mr {w}").split()[1] for w in [*words, *pii.LAST["latin"]]}
+    assert len(set(new.values())) == len(new) and not {new[w] for w in words} & set(pii.LAST["latin"])
+    assert list(pii._pairs("titled", "Mr Jan Abc", "Mr Tom Zzz")) == [("forename", "Jan", "Tom"), ("surname", "Abc", "Zzz")]
+    assert pii.collisions(docs(spark, [(i, f"Mr {w}") for i, w in enumerate(words)])).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 5000), st.binary(min_size=1, max_size=8))
 def test_shift_is_a_permutation_without_fixed_points(domain, key):
