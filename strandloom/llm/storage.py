@@ -15,13 +15,24 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where the setting is absent (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Without that setting a local master gets a folder of its own; a cluster is an error, as its machines share no temporary folder."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = _own_dir()
     return where.rstrip("/")
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python workers and their Arrow buffers hold ROWS whole texts at a time instead of Spark's default of 10,000; any other setting is left alone."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
@@ -29,10 +40,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     and consumers that read it twice don't run it twice.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
