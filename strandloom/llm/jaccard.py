@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.graph import components
 from strandloom.llm.storage import durable
-from strandloom.llm.text import WORD, Words, chunks, mix, shingle_runs
+from strandloom.llm.text import Words, chunks, mix, shingle_runs
 
 #: Fixed values of the contract: SHARE / 100 of the union must be common.
 WORDS, SHARE = 5, 75
@@ -487,13 +487,23 @@ def deduplicate(docs: DataFrame, words: int = WORDS, group_shingles: int = 1 <<
     """
     found = durable(_joined(docs, words, group_shingles).filter(F.col("n_shingles") > 0).select("root", "doc_id", "row"), "decisions")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    stays = durable(first.select(F.col("first.row").alias("_row")), "stays")
+    stays = first.select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    times = found.groupBy("row").agg(F.count("*").alias("times")).join(stays, "row", "left")
+    moot = durable(times.filter(F.col("stays").isNull() | (F.col("times") > 1)).select(F.col("row").alias("_row"), F.coalesce("stays", F.lit(False)).alias("_stays")), "moot")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = docs.withColumn("_row", F.expr(ROW)).join(stays.withColumn("_stays", F.lit(True)), "_row", "left").filter(F.col("_stays") | ~has_words)
-    again = found.groupBy("row").count().filter(F.col("count") > 1).join(stays, F.col("row") == F.col("_row"), "left_semi")
-    if again.limit(1).count():
+    free, held = _split(docs.withColumn("_row", F.expr(ROW)), "_row", moot)
+    held = held.join(moot, "_row", "left").filter(F.coalesce("_stays", F.lit(True)))
+    if moot.filter("_stays").limit(1).count():
         others = F.to_json(F.struct(*[c for c, name in zip(names, docs.columns) if name not in ("doc_id", "text")]))
         turn = F.row_number().over(Window.partitionBy("_row").orderBy(others))
-        kept = kept.withColumn("_turn", turn).filter((F.col("_turn") == 1) | ~has_words)
-    return kept.select(*names)
+        held = held.withColumn("_turn", turn).filter((F.col("_turn") == 1) | F.col("_stays").isNull())
+    return free.select(*names).unionAll(held.select(*names))
+
+
+def _split(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` is surely not among ``keys``, and the others, which an exact join has to judge. A bit table of 2^bits bits is broadcast, whatever the number of keys, so only the others' texts are shuffled; where it is full, all are."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    table = keys.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
+    marked = rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(durable(table, "bits")), "_word", "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast(pmod({key}, {1 << bits}L) & 63 as int)) & 1 = 1"), F.lit(False))
+    return marked.filter(~hit), marked.filter(hit)
