@@ -96,11 +96,23 @@ def kmerize_split(spark, sf_dir):
     return K.split_simple(tiles(spark, sf_dir), 21)
 
 
-SEARCHED = "q AS (SELECT DISTINCT substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 11, 40) AS q FROM benchmark)"
+PIECE, STEP = 48, 24
+BENCHMARK = "bq AS (SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM benchmark)"
+SEARCHED = f"""{BENCHMARK},
+q AS (SELECT DISTINCT substr(s, CAST(i AS INTEGER), {PIECE}) AS q FROM (SELECT s, unnest(range(1, greatest(1, length(s) - {STEP}) + 1, {STEP})) AS i FROM bq WHERE length(s) > 0))"""
+WHOLE = f"{BENCHMARK}, q AS (SELECT DISTINCT s AS q FROM bq)"
+
+
+def _asked(spark, sf_dir):
+    """The whole sequence of each benchmark text."""
+    return table(spark, sf_dir, "benchmark").select(R.sequence_of("text").alias("q")).filter(F.col("q").isNotNull()).distinct()
 
 
 def _searched(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(dna.substr(R.sequence_of("text"), 11, 40).alias("q")).distinct()
+    """Overlapping pieces over the whole sequence of each benchmark text, as no read is as long; the last one ends it."""
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("q") - STEP), F.lit(STEP)))
+    rows = _asked(spark, sf_dir).filter(F.length("q") > 0).select("q", starts.alias("at"))
+    return rows.select(dna.substr("q", F.col("at"), PIECE).alias("q")).distinct()
 
 
 @query(ctes(READS, SEARCHED) + ", s AS (SELECT id, seq, CAST(unnest(range(0, length(seq) - 23)) AS INTEGER) AS pos FROM reads WHERE length(seq) >= 24) SELECT q, id, pos FROM s JOIN q ON substr(seq, pos + 1, 24) = left(q, 24) AND length(q) >= 24 AND substr(seq, pos + 1, length(q)) = q")
@@ -115,11 +127,11 @@ def grep_reads(spark, sf_dir):
     return found.select("q", "id").distinct().groupBy("q").agg(F.count("*").alias("reads"))
 
 
-@query(ctes(READS, km(15), COUNTS, SEARCHED) + f""", k AS (SELECT q, CAST(i AS INTEGER) AS pos, substr(q, CAST(i AS INTEGER) + 1, 15) AS kmer FROM (SELECT q, unnest(range(0, length(q) - 14)) AS i FROM q WHERE length(q) >= 15))
+@query(ctes(READS, km(15), COUNTS, WHOLE) + f""", k AS (SELECT q, CAST(i AS INTEGER) AS pos, substr(q, CAST(i AS INTEGER) + 1, 15) AS kmer FROM (SELECT q, unnest(range(0, length(q) - 14)) AS i FROM q WHERE length(q) >= 15))
 SELECT q, pos, kmer, coalesce(CASE WHEN kmer = canon THEN fw ELSE rv END, 0) AS same, coalesce(CASE WHEN kmer = canon THEN rv ELSE fw END, 0) AS revc FROM k LEFT JOIN cnt ON canon = least(kmer, {rc('kmer')})""")
 def kmer_lookup(spark, sf_dir):
     """The batch form of the streaming lookup."""
-    return lookup.kmer_lookup(_searched(spark, sf_dir), K.strand_counts(tiles(spark, sf_dir), 15), 15)
+    return lookup.kmer_lookup(_asked(spark, sf_dir), K.strand_counts(tiles(spark, sf_dir), 15), 15)
 
 
 @query(ctes(READS) + """, s AS (SELECT idx, concat(seq, '$') AS s FROM reads), x AS (SELECT idx, substr(s, CAST(i AS INTEGER)) AS suffix, CASE WHEN i = 1 THEN '$' ELSE substr(s, CAST(i AS INTEGER) - 1, 1) END AS symbol FROM (SELECT idx, s, unnest(range(1, length(s) + 1)) AS i FROM s)),
