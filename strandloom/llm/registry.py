@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import decontaminate, hamming, html, jaccard, langid, mixing, pii, quality, secrets, urlrules
+from strandloom.llm import decontaminate, dialogue, hamming, html, jaccard, langid, mixing, neardup, negatives, pii, quality, secrets, urlrules
 from strandloom.llm.storage import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_quality, op4_surrogates, op5_mixing, op6_hamming_top_k, op7_html_text, op8_language, op9_url_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_quality, op4_surrogates, op5_mixing, op6_hamming_top_k, op7_html_text, op8_language, op9_url_rules, op10_decontaminate, op11_embedding_near_duplicates, op12_hard_negatives, op13_conversation_repair)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_hamming_top_k": hamming.ORACLE, "op9_url_rules": urlrules.ORACLE}
+    return {"op6_hamming_top_k": hamming.ORACLE, "op9_url_rules": urlrules.ORACLE, "op11_embedding_near_duplicates": neardup.ORACLE, "op12_hard_negatives": negatives.ORACLE}

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(registry.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(registry.oracles()))
