@@ -20,7 +20,8 @@ def explode(reads: DataFrame, k: int, *keep: str) -> DataFrame:
 
 def both_strands(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """kept columns, pos, kmer, rc. A read is reverse complemented once; its k-mers' reverse complements are pieces of that."""
-    rows = reads.filter(F.length("seq") >= k).select(*dict.fromkeys([*keep, "seq"]), dna.revcomp("seq").alias("_rc"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    rows = reads.filter(F.length("seq") >= k).select(*dict.fromkeys([*keep, "seq"]), dna.revcomp("seq").alias("_rc"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))  # a select of its own, else _rc moves above the generator
     return rows.select(*keep, "pos", dna.substr("seq", F.col("pos") + 1, k).alias("kmer"), dna.substr("_rc", F.length("seq") - k - F.col("pos") + 1, k).alias("rc"))
 
 
@@ -114,7 +115,12 @@ def neighbours(reads: DataFrame, k: int) -> DataFrame:
 
 def trim_dead_ends(reads: DataFrame, k: int) -> DataFrame:
     """id, seq without ends that lead nowhere: if the first k-mer has no predecessor, the read begins at the first with two; the same from the other end. '' where the ends cross and for reads below k."""
-    spots = explode(reads, k, "id").join(neighbours(reads, k), "kmer")
+    return trim_by(reads, neighbours(reads, k), k)
+
+
+def trim_by(reads: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """``trim_dead_ends`` by the degrees (kmer, out_degree, in_degree) of other reads' k-mers."""
+    spots = explode(reads, k, "id").join(near, "kmer")
     ends = spots.groupBy("id").agg(F.min(F.struct("pos", "in_degree")).alias("first"), F.max(F.struct("pos", "out_degree")).alias("last"), F.min(F.when(F.col("in_degree") >= 2, F.col("pos"))).alias("up"), F.max(F.when(F.col("out_degree") >= 2, F.col("pos"))).alias("down"))
     begin = F.when(F.col("first.in_degree") == 0, F.col("up")).otherwise(F.lit(0))
     end = F.when(F.col("last.out_degree") == 0, F.col("down")).otherwise(F.col("last.pos"))

@@ -16,7 +16,7 @@ def sequence_of(text: Column | str) -> Column:
 
 def tiled(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
     """doc_id, pos, idx, id, seq: windows over each document's whole sequence; the last one ends it."""
-    rows = docs.select("doc_id", sequence_of("text").alias("dna")).filter(F.length("dna") > 0)
+    rows = docs.select("doc_id", F.explode(F.array(sequence_of("text"))).alias("dna")).filter(F.length("dna") > 0)  # made once, not in the filter too
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("dna") - step), F.lit(step))
     rows = rows.select("doc_id", "dna", F.explode(starts).alias("pos"))
     return rows.select("doc_id", "pos", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("idx"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"), dna.substr("dna", F.col("pos"), size).alias("seq"))
