@@ -11,9 +11,9 @@ and where ``most_length`` is passed.
 While k grows without falling back, a path's suffix only gains bases, so what
 can follow is told by what follows the m-mer at the path's end in the reads that
 have it. Such a leg is one join of the open paths' ends with places of m-mers,
-not a join a base. What follows an m-mer is a table of extensions with their
-counts; no extension beyond the first length at which more than ``leaves`` of
-them are open is needed, as any walk is over there, so a frequent m-mer has few.
+not a join a base, and then a pair's paths, at most ``leaves``, are stepped
+together. Of what follows an m-mer nothing beyond the first length at which more
+than ``leaves`` ways are open is needed, as any walk is over there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions import dna
@@ -60,17 +61,86 @@ class Places:
         return asked.join(met.groupBy("seq").agg(F.count("*").alias("n")), "seq")
 
     def extensions(self, asked: DataFrame, support: int, leaves: int) -> DataFrame:
-        """kmer, j, ext: what follows the asked m-mers (kmer, reach) over j bases, reach at most, at least ``support`` times."""
+        """kmer, exts: what follows the asked m-mers (kmer, reach) over at most reach bases, at least ``support`` times; of extensions only those that no other goes on from.
+
+        An m-mer's tails are counted apart and meet in one row, unless there are more than TAILS different ones: then their beginnings are counted by a group-by.
+        """
         most = asked.groupBy("kmer").agg(F.max("reach").alias("most"))
         met = self.spots.join(most.withColumn("h", F.xxhash64("kmer")), "h").join(self.reads, "node")
         met = met.filter(dna.substr("seq", F.col("at"), self.m) == F.col("kmer"))
         tails = met.select("kmer", F.substring(F.col("seq"), F.col("at") + self.m, F.col("most")).alias("tail")).filter(F.length("tail") > 0)
-        tails = tails.groupBy("kmer", "tail").agg(F.count("*").alias("n"))
-        each = tails.select("kmer", "n", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("j"))
-        grown = each.groupBy("kmer", "j", F.left("tail", F.col("j")).alias("ext")).agg(F.sum("n").alias("n")).filter(F.col("n") >= support).drop("n")
-        grown = durable(grown, "extensions")
-        wide = grown.groupBy("kmer", "j").agg(F.count("*").alias("width")).filter(F.col("width") > leaves).groupBy("kmer").agg(F.min("j").alias("last"))
-        return grown.join(wide, "kmer", "left").filter(F.col("last").isNull() | (F.col("j") <= F.col("last"))).drop("last")
+        tails = durable(tails.groupBy("kmer", "tail").agg(F.count("*").alias("n")), "tails")
+        many = durable(tails.groupBy("kmer").agg(F.count("*").alias("tails")).filter(F.col("tails") > TAILS).select("kmer"), "many-tails")
+        few = tails.join(many, "kmer", "left_anti").groupBy("kmer").agg(F.collect_list(F.struct("tail", "n")).alias("tails"))
+        rest = tails.join(many, "kmer", "left_semi").select("kmer", "n", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("j"))
+        rest = rest.groupBy("kmer", "j", F.left("tail", F.col("j")).alias("ext")).agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
+        last = rest.groupBy("kmer", "j").agg(F.count("*").alias("width")).filter(F.col("width") > leaves).groupBy("kmer").agg(F.min("j").alias("last"))
+        rest = rest.join(last, "kmer", "left").filter(F.col("last").isNull() | (F.col("j") <= F.col("last")))
+        # few enough now; a beginning that goes on has its longer ones beside it, so one occurrence of each tells the same
+        rest = rest.groupBy("kmer").agg(F.collect_list(F.struct(F.col("ext").alias("tail"), F.col("n"))).alias("tails"))
+        kind = "kmer string, exts array<string>"
+        return few.mapInPandas(_extended(support, leaves), kind).unionByName(rest.mapInPandas(_extended(1, leaves), kind))
+
+
+#: Different tails of an m-mer that one row has at most.
+TAILS = 4096
+
+
+def maximal(tails: list[tuple[str, int]], support: int, leaves: int) -> list[str]:
+    """Beginnings of the tails that occur ``support`` times and go no further, up to the first length with more than ``leaves`` of them."""
+    out, now, j = [], {"": tails}, 0
+    while now and len(now) <= leaves:
+        longer: dict[str, list[tuple[str, int]]] = {}
+        for begin, own in now.items():
+            by: dict[str, list[tuple[str, int]]] = {}
+            for t in own:
+                if len(t[0]) > j:
+                    by.setdefault(t[0][j], []).append(t)
+            good = {begin + b: part for b, part in by.items() if sum(n for _, n in part) >= support}
+            if begin and not good:
+                out.append(begin)
+            longer.update(good)
+        now, j = longer, j + 1
+    return out + list(now) if j else out
+
+
+def _extended(support: int, leaves: int):
+    def run(frames):
+        for frame in frames:
+            found = [maximal([(t["tail"], t["n"]) for t in tails], support, leaves) for tails in frame["tails"].tolist()]
+            yield pd.DataFrame({"kmer": frame["kmer"], "exts": found})
+
+    return run
+
+
+def _leg(m: int, limits: Limits):
+    """Steps all open paths of a pair as far as one leg goes."""
+
+    def step(target: str, reach: int, used: int, open_: list[tuple[str, list[str]]]) -> tuple[str | None, int, list[str]]:
+        size, end = len(open_[0][0]), target[:m]
+        if size > limits.most_length:
+            return "too_long", used, []
+        exts = [(path, e[: limits.most_length - size + 1]) for path, own in open_ for e in own]
+        exts = [(path, e[:reach]) for path, e in exts]
+        j = 0
+        now = [path for path, _ in open_]
+        while True:
+            new = sorted({path + e[: j + 1] for path, e in exts if len(e) > j})
+            if not new:
+                return (None if j else "dead_end"), used, now if j else []
+            now, j, used = new, j + 1, max(used, len(new))
+            there = [p for p in now if p.endswith(end)]
+            if there:
+                return "merged", used, [p + target[m:] for p in there]
+            if len(now) > limits.leaves:
+                return "too_many", used, []
+
+    def run(frames):
+        for frame in frames:
+            told = [step(t, r, u, [(o["path"], [] if o["exts"] is None else list(o["exts"])) for o in open_]) for t, r, u, open_ in zip(frame["target"].tolist(), frame["reach"].tolist(), frame["used"].tolist(), frame["open"].tolist())]
+            yield frame.drop(columns="open").assign(status=[x for x, _, _ in told], used=[x for _, x, _ in told], paths=[x for _, _, x in told])
+
+    return run
 
 
 def touching(pairs: DataFrame, m: int, antisense: bool = True) -> DataFrame:
@@ -111,37 +181,28 @@ def walk(ends: DataFrame, places: Places, counts: DataFrame, limits: Limits, ant
     ends = durable(ends.select(*KEY, "source", "target", "most_overlap"), "ends")
     near = durable(touching(ends, m, antisense), "touching")
     short = ends.filter((F.length("source") < m) | (F.length("target") < m))
-    reach = F.greatest(F.lit(1), F.col("most_overlap") - m).cast("int")
+    reach = F.greatest(F.lit(1), F.col("most_overlap") - m).cast("int").alias("reach")
     front = ends.join(near, KEY, "left_anti").filter((F.length("source") >= m) & (F.length("target") >= m))
-    front = durable(front.select(*KEY, F.col("source").alias("path"), "target", reach.alias("reach"), F.lit(0).cast("bigint").alias("used")), "front")
-    over, arrived = [], []
+    front = durable(front.select(*KEY, "target", reach, F.lit(0).cast("bigint").alias("used"), F.array("source").alias("paths")), "front")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in front.schema if f.name != "paths") + ", status string, paths array<string>"
+    over = []
     while front.limit(1).count():
-        front = front.withColumn("kmer", F.right("path", F.lit(m)))
-        grown = places.extensions(front.select("kmer", "reach"), limits.support, limits.leaves)
-        allowed = (F.col("j") <= F.col("reach")) & (F.length("path") + F.col("j") - 1 <= limits.most_length)
-        nodes = front.join(grown, "kmer").filter(allowed)
-        ends_in = F.right(F.concat("kmer", "ext"), F.lit(m)) == F.left("target", F.lit(m))
-        levels = nodes.groupBy(*KEY, "j").agg(F.count("*").alias("n"), F.bool_or(ends_in).alias("hit"))
-        final = F.col("hit") | (F.col("n") > limits.leaves)
-        stop = levels.groupBy(*KEY).agg(F.coalesce(F.min(F.when(final, F.col("j"))), F.max("j")).alias("stop"))
-        found = levels.join(stop, KEY).filter(F.col("j") <= F.col("stop"))
-        found = durable(found.groupBy(*KEY).agg(F.max("j").alias("j"), F.max("n").alias("most"), F.max_by("hit", "j").alias("hit"), F.max_by("n", "j").alias("n")), "stops")
-        stepped = front.join(found, KEY).join(grown, ["kmer", "j"]).select(*KEY, F.concat("path", "ext").alias("path"), "target", "reach", F.greatest("used", "most").alias("used"), "hit", (F.col("n") > limits.leaves).alias("many"))
-        stepped = durable(stepped, "stepped")
-        stuck = front.join(found, KEY, "left_anti").groupBy(*KEY).agg(F.max("used").alias("used"), F.max(F.length("path")).alias("size"))
-        over.append(stuck.select(*KEY, F.when(F.col("size") > limits.most_length, "too_long").otherwise("dead_end").alias("status"), "used"))
-        over.append(stepped.filter(~F.col("hit") & F.col("many")).groupBy(*KEY).agg(F.lit("too_many").alias("status"), F.max("used").alias("used")))
-        at_target = F.right("path", F.lit(m)) == F.left("target", F.lit(m))
-        arrived.append(stepped.filter(F.col("hit") & at_target).select(*KEY, F.concat("path", dna.substr("target", m + 1, F.length("target"))).alias("path"), "used"))
-        front = stepped.filter(~F.col("hit") & ~F.col("many")).drop("hit", "many")
+        each = front.select(*KEY, "target", "reach", "used", F.explode("paths").alias("path")).withColumn("kmer", F.right("path", F.lit(m)))
+        exts = places.extensions(each.select("kmer", "reach"), limits.support, limits.leaves)
+        # at most ``leaves`` paths a pair
+        pairs = each.join(exts, "kmer", "left").groupBy(*KEY, "target", "reach", "used").agg(F.collect_list(F.struct("path", "exts")).alias("open"))
+        stepped = durable(pairs.mapInPandas(_leg(m, limits), kind), "stepped")
+        over.append(stepped.filter(F.col("status").isNotNull()).select(*KEY, "status", "used", "paths"))
+        front = stepped.filter(F.col("status").isNull()).drop("status")
     nothing = [F.lit(None).cast("string").alias("merged"), F.lit(0).cast("bigint").alias("coverage")]
     rows = [near.select(*KEY, F.lit("overlap").alias("status"), "merged", F.lit(0).cast("bigint").alias("coverage"), F.lit(0).cast("bigint").alias("used"), F.lit(1).cast("bigint").alias("paths"))]
     rows.append(short.select(*KEY, F.lit("short").alias("status"), *nothing, F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("paths")))
-    if arrived:
-        paths = durable(reduce(DataFrame.unionAll, arrived), "arrived")
+    if over:
+        ended = reduce(DataFrame.unionAll, over)
+        paths = durable(ended.filter(F.col("status") == "merged").select(*KEY, "used", F.explode("paths").alias("path")), "arrived")
         best = paths.join(coverage(paths, counts, m), [*KEY, "path"]).groupBy(*KEY).agg(F.min_by(F.struct("path", "coverage"), F.struct(-F.col("coverage"), "path")).alias("b"), F.max("used").alias("used"), F.count("*").alias("paths"))
         rows.append(best.select(*KEY, F.lit("merged").alias("status"), F.col("b.path").alias("merged"), "b.coverage", "used", "paths"))
-        rows.append(reduce(DataFrame.unionAll, over).select(*KEY, "status", *nothing, "used", F.lit(0).cast("bigint").alias("paths")))
+        rows.append(ended.filter(F.col("status") != "merged").select(*KEY, "status", *nothing, "used", F.lit(0).cast("bigint").alias("paths")))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.operators import reads as R
+from strandloom.sources.durable import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tiled(table(spark, sf_dir, "documents"))
+def tiles(spark: SparkSession, sf_dir: str, step: int = R.STEP) -> DataFrame:
+    """Reads over all documents, dealt evenly (a file of long texts is one task) and written once, as plans read them more than once."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return durable(R.tiled(table(spark, sf_dir, "documents"), R.SIZE, step).repartition(parts, "idx"), "tiles")
 
 
 def query(sql: str | None = None):

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import matewalk as MW, reads as R
-from strandloom.plans.base import query, table
-from strandloom.sources.durable import durable
+from strandloom.plans.base import query, tiles
 
-#: Reads begin every 25 bases here: four cover a base, so a k-mer of half as many more is a repeat.
-STEP = 25
-LIMITS = MW.Limits(seed=31, support=2, leaves=32, most_length=400)
+#: Reads begin every 20 bases here, so that each 21-mer inside a text is in four of them, and one in more is a repeat.
+STEP = 20
+LIMITS = MW.Limits(seed=21, support=3, leaves=32, most_length=400)
 
 
 def merger(spark, sf_dir):
-    reads = durable(R.tiled(table(spark, sf_dir, "documents"), R.SIZE, STEP), "tiles")
+    reads = tiles(spark, sf_dir, STEP)
     name = lambda mate: F.concat(F.lit("p"), F.col("pair_id").cast("string"), F.lit(f"/{mate}")).alias(f"name{mate}")
     pairs = R.paired(reads).select("pair_id", name(1), "first", name(2), "second")
     return MW.Merger(pairs, reads, LIMITS, 31, 2)

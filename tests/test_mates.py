@@ -93,8 +93,9 @@ def pairs_of(rng, n=60, insert=75, size=40):
     return out
 
 
-@pytest.mark.parametrize("limits", [MW.Limits(13, 30, 3, 4, 100), MW.Limits(15, 22, 2, 2, 70)])
-def test_walks_step_base_by_base(spark, limits):
+@pytest.mark.parametrize("limits, tails", [(MW.Limits(13, 30, 3, 4, 100), MW.TAILS), (MW.Limits(15, 22, 2, 2, 70), 3)])
+def test_walks_step_base_by_base(spark, monkeypatch, limits, tails):
+    monkeypatch.setattr(MW, "TAILS", tails)  # few: m-mers of more tails are counted the other way
     reads = library()
     df = spark.createDataFrame([(i, str(i), r) for i, r in enumerate(reads)], "idx long, id string, seq string")
     rows = []
