@@ -104,8 +104,9 @@ def extensions(reads: DataFrame, k: int) -> DataFrame:
 
 def neighbours(reads: DataFrame, k: int) -> DataFrame:
     """kmer, out_degree, in_degree over both strands' distinct k-mers: one row an oriented k-mer of the reads."""
-    found = both_strands(reads, k)
-    both = found.select("kmer").unionAll(found.select(F.col("rc").alias("kmer"))).distinct()
+    found = both_strands(reads, k).select(F.least("kmer", "rc").alias("canon")).distinct()
+    other = dna.revcomp("canon")
+    both = found.select(F.explode(F.when(F.col("canon") == other, F.array("canon")).otherwise(F.array(F.col("canon"), other))).alias("kmer"))
     link = both.select("kmer", F.substring("kmer", 2, k - 1).alias("tail"), F.left("kmer", F.lit(k - 1)).alias("head"))
     after = link.groupBy("head").agg(F.count("*").alias("out_degree"))
     before = link.groupBy("tail").agg(F.count("*").alias("in_degree"))
@@ -119,14 +120,19 @@ def trim_dead_ends(reads: DataFrame, k: int) -> DataFrame:
 
 
 def trim_by(reads: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """``trim_dead_ends`` by the degrees (kmer, out_degree, in_degree) of other reads' k-mers."""
-    spots = explode(reads, k, "id").join(near, "kmer")
-    ends = spots.groupBy("id").agg(F.min(F.struct("pos", "in_degree")).alias("first"), F.max(F.struct("pos", "out_degree")).alias("last"), F.min(F.when(F.col("in_degree") >= 2, F.col("pos"))).alias("up"), F.max(F.when(F.col("out_degree") >= 2, F.col("pos"))).alias("down"))
-    begin = F.when(F.col("first.in_degree") == 0, F.col("up")).otherwise(F.lit(0))
-    end = F.when(F.col("last.out_degree") == 0, F.col("down")).otherwise(F.col("last.pos"))
-    rows = reads.select("id", "seq").join(ends.select("id", begin.alias("b"), end.alias("e")), "id", "left")
-    kept = F.when(F.col("b").isNotNull() & F.col("e").isNotNull() & (F.col("b") <= F.col("e")), dna.substr("seq", F.col("b") + 1, F.col("e") - F.col("b") + k)).otherwise("")
-    return rows.select("id", kept.alias("seq"))
+    """``trim_dead_ends`` by the degrees (kmer, out_degree, in_degree) of other reads' k-mers. Only reads with a dead end are looked at k-mer by k-mer."""
+    sides = reads.filter(F.length("seq") >= k).select("id", "seq", F.left("seq", F.lit(k)).alias("first"), F.right("seq", F.lit(k)).alias("last"))
+    sides = sides.join(near.select(F.col("kmer").alias("first"), "in_degree"), "first").join(near.select(F.col("kmer").alias("last"), "out_degree"), "last")
+    sides = sides.select("id", "seq", F.col("in_degree").alias("starts"), F.col("out_degree").alias("ends"))
+    dead = sides.filter((F.col("starts") == 0) | (F.col("ends") == 0))
+    spots = explode(dead, k, "id", "starts", "ends").join(near, "kmer")
+    ends = spots.groupBy("id", "starts", "ends").agg(F.max("pos").alias("most"), F.min(F.when(F.col("in_degree") >= 2, F.col("pos"))).alias("up"), F.max(F.when(F.col("out_degree") >= 2, F.col("pos"))).alias("down"))
+    begin = F.when(F.col("starts") == 0, F.col("up")).otherwise(F.lit(0))
+    end = F.when(F.col("ends") == 0, F.col("down")).otherwise(F.col("most"))
+    cut = sides.join(ends.select("id", begin.alias("b"), end.alias("e")), "id", "left")
+    live = (F.col("starts") > 0) & (F.col("ends") > 0)
+    kept = F.when(live, F.col("seq")).when(F.col("b") <= F.col("e"), dna.substr("seq", F.col("b") + 1, F.col("e") - F.col("b") + k)).otherwise("")
+    return reads.select("id").join(cut.select("id", kept.alias("seq")), "id", "left").select("id", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def breaks(reads: DataFrame, k: int, ratio: float = 0.5, least: int = 10) -> DataFrame:

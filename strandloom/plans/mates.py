@@ -9,7 +9,7 @@ from strandloom.plans.base import query, tiles
 
 #: Reads begin every 20 bases here, so that each 21-mer inside a text is in four of them, and one in more is a repeat.
 STEP = 20
-LIMITS = MW.Limits(seed=21, support=3, leaves=32, most_length=400)
+LIMITS = MW.Limits(seed=21, support=2, leaves=32, most_length=300)
 
 
 def merger(spark, sf_dir):
