@@ -12,20 +12,21 @@ from strandloom.sources import records
 from strandloom.sources.durable import durable
 
 LEAST = 45
-UNIQUE = f"""uniq AS (SELECT min(idx) AS idx, arg_min(id, idx) AS id, arg_min(seq, idx) AS seq FROM (SELECT *, least(seq, {rc('seq')}) AS canon FROM reads) GROUP BY canon),
-ori AS (SELECT idx * 2 AS node, seq FROM uniq UNION ALL SELECT idx * 2 + 1, {rc('seq')} FROM uniq)"""
-OVERLAPS = f"""sd AS (SELECT node, seq, CAST(unnest(range(2, length(seq) - {LEAST} + 2)) AS INTEGER) AS place FROM ori WHERE length(seq) > {LEAST}),
-ov AS (SELECT s.node AS a, o.node AS b, CAST(length(s.seq) - place + 1 AS INTEGER) AS size FROM sd s JOIN ori o ON substr(s.seq, place, {LEAST}) = left(o.seq, {LEAST}) AND length(o.seq) >= {LEAST}
+UNIQUE = f"""uniq AS MATERIALIZED (SELECT min(idx) AS idx, arg_min(id, idx) AS id, arg_min(seq, idx) AS seq FROM (SELECT *, least(seq, {rc('seq')}) AS canon FROM reads) GROUP BY canon),
+ori AS MATERIALIZED (SELECT idx * 2 AS node, seq FROM uniq UNION ALL SELECT idx * 2 + 1, {rc('seq')} FROM uniq)"""
+OVERLAPS = f"""sd AS (SELECT node, seq, place, hash(substr(seq, place, {LEAST})) AS h FROM (SELECT node, seq, CAST(unnest(range(2, length(seq) - {LEAST} + 2)) AS INTEGER) AS place FROM ori WHERE length(seq) > {LEAST})),
+hd AS (SELECT node, seq, hash(left(seq, {LEAST})) AS h FROM ori WHERE length(seq) >= {LEAST}),
+ov AS MATERIALIZED (SELECT s.node AS a, o.node AS b, CAST(length(s.seq) - place + 1 AS INTEGER) AS size FROM sd s JOIN hd o ON s.h = o.h
   WHERE s.node // 2 <> o.node // 2 AND length(o.seq) > length(s.seq) - place + 1 AND substr(s.seq, place) = left(o.seq, length(s.seq) - place + 1))"""
 OV = (READS, UNIQUE, OVERLAPS)
 CAPPED = """bl AS (SELECT a, size, count(*) AS hits FROM ov GROUP BY 1, 2),
 bw AS (SELECT a, size, sum(hits) OVER (PARTITION BY a ORDER BY size DESC) AS upto, max(size) OVER (PARTITION BY a) AS top, min(size) OVER (PARTITION BY a) AS bottom FROM bl),
 li AS (SELECT bw.a, coalesce(max(size) FILTER (WHERE (upto >= 64 OR top - size >= 0.5 * length(seq)) AND size > bottom), 0) AS l FROM bw JOIN ori ON ori.node = bw.a GROUP BY 1),
 cap AS (SELECT ov.* FROM ov JOIN li USING (a) WHERE size > l)"""
-IRREDUCIBLE = """ar AS (SELECT cap.*, length(seq) - size AS off FROM cap JOIN ori ON node = a),
-im AS (SELECT DISTINCT x.a, y.b, x.off + y.off AS off FROM ar x JOIN ar y ON x.b = y.a),
-irr AS (SELECT a, b, size FROM ar WHERE NOT EXISTS (SELECT 1 FROM im WHERE im.a = ar.a AND im.b = ar.b AND im.off = ar.off)),
-arcs AS (SELECT a, b, max(size) AS size FROM (SELECT a, b, size FROM irr UNION SELECT xor(b, 1), xor(a, 1), size FROM irr) GROUP BY 1, 2)"""
+IRREDUCIBLE = """ar AS MATERIALIZED (SELECT cap.*, length(seq) - size AS off FROM cap JOIN ori ON node = a),
+im AS (SELECT DISTINCT x.a, y.b, x.off + y.off AS off FROM ar x JOIN ar y ON x.b = y.a JOIN ar z ON z.a = x.a AND z.b = y.b AND z.off = x.off + y.off),
+irr AS MATERIALIZED (SELECT ar.a, ar.b, ar.size FROM ar LEFT JOIN im ON im.a = ar.a AND im.b = ar.b AND im.off = ar.off WHERE im.a IS NULL),
+arcs AS MATERIALIZED (SELECT a, b, max(size) AS size FROM (SELECT a, b, size FROM irr UNION SELECT xor(b, 1), xor(a, 1), size FROM irr) GROUP BY 1, 2)"""
 GRAPH = (*OV, CAPPED, IRREDUCIBLE)
 DEGREES = """deg AS (SELECT idx AS v, length(seq) AS len, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM uniq LEFT JOIN (SELECT a // 2 AS v, count(*) FILTER (WHERE a % 2 = 0) AS s, count(*) FILTER (WHERE a % 2 = 1) AS t FROM arcs GROUP BY 1) d ON d.v = idx)"""
 
