@@ -47,6 +47,14 @@ def correct(reads: DataFrame, k: int = 31, least: int = 6, rounds: int = 2) -> D
     return now
 
 
+def correct_learned(reads: DataFrame, k: int = 31, rounds: int = 2) -> DataFrame:
+    """``correct`` with twice the threshold that the reads' own k-mer histogram tells; reads whose histogram has no error boundary are an error."""
+    row = kmers.learned_threshold(kmers.histogram(reads, k)).first()
+    if row is None or row["threshold"] < 0:
+        raise ValueError("the k-mer histogram has no error boundary; give a threshold")
+    return correct(reads, k, 2 * row["threshold"], rounds)
+
+
 def metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """kind, key, samples, errors of corrected bases by position, base, preceding two bases (from the fourth base on) and quality. ``before``: id, seq, scores; ``after``: id, seq."""
     rows = before.select("id", "seq", "scores").join(after.select("id", F.col("seq").alias("fixed")), "id").filter(F.length("seq") == F.length("fixed"))

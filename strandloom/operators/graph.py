@@ -206,3 +206,29 @@ def bubbles(vertices: DataFrame, arcs: DataFrame, most_gap: int = 9) -> DataFram
     paths = paths.filter(F.col("s") <= twin("t")).withColumn("gap", F.col("len") - F.col("s1") - F.col("s2"))
     groups = paths.groupBy("s", "t").agg(F.count("*").alias("n"), (F.max("gap") - F.min("gap")).alias("spread"), F.max_by("v", F.struct("cov", -F.col("v"))).alias("best"))
     return paths.join(groups.filter((F.col("n") > 1) & (F.col("spread") <= most_gap)), ["s", "t"]).filter(F.col("v") != F.col("best")).select("v").distinct()
+
+
+def overlap_ranks(arcs: DataFrame) -> DataFrame:
+    """a, longest, second: the longest overlap of each end and the next one, null where there is one arc only. Sizes are counted first, so a hub brings a row a size."""
+    sizes = arcs.groupBy("a", "size").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("size")))
+    rows = sizes.withColumn("place", place).filter(F.col("place") <= 2)
+    first = F.max(F.when(F.col("place") == 1, F.struct("size", "n")))
+    rows = rows.groupBy("a").agg(first.alias("top"), F.max(F.when(F.col("place") == 2, F.col("size"))).alias("next"))
+    return rows.select("a", F.col("top.size").alias("longest"), F.when(F.col("top.n") > 1, F.col("top.size")).otherwise(F.col("next")).alias("second"))
+
+
+def ratio_stats(vertices: DataFrame, arcs: DataFrame, bins: int = 10) -> DataFrame:
+    """bin, arcs, least, most: arcs by the share of the shorter vertex that they overlap, in tenths."""
+    size = vertices.select("v", F.length("seq").alias("len"))
+    rows = arcs.join(size.select(F.col("v").alias("va"), F.col("len").alias("la")), vertex("a") == F.col("va")).join(size.select(F.col("v").alias("vb"), F.col("len").alias("lb")), vertex("b") == F.col("vb"))
+    ratio = F.col("size").cast("double") / F.least("la", "lb")
+    rows = rows.select(ratio.alias("ratio"), F.floor(F.col("size") * bins / F.least("la", "lb")).cast("int").alias("bin"))
+    return rows.groupBy("bin").agg(F.count("*").alias("arcs"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+
+
+def kmer_coverage(contigs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """v, kmers, total, mean: the larger of both strands' counts over a contig's k-mers; contigs below k have none."""
+    rows = kmers.explode(contigs, k, "v").withColumn("canon", dna.canonical("kmer")).join(counts, "canon", "left")
+    total = F.sum(F.coalesce(F.greatest("fw", "rv"), F.lit(0)))
+    return rows.groupBy("v").agg(F.count("*").alias("kmers"), total.alias("total")).withColumn("mean", F.col("total").cast("double") / F.col("kmers"))

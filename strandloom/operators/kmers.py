@@ -170,3 +170,12 @@ def suffix_columns(reads: DataFrame, bucket: int = 3) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("suffix", "idx")
     rows = rows.withColumn("fresh", (F.lag("symbol").over(order).isNull() | (F.lag("symbol").over(order) != F.col("symbol"))).cast("long"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("fresh").alias("runs"), *[F.count_if(F.col("symbol") == b).alias(n) for b, n in zip("ACGT$", ("a", "c", "g", "t", "ends"))])
+
+
+def learned_threshold(counts: DataFrame, ratio: float = 2.0) -> DataFrame:
+    """threshold, weak, solid: the count where erroneous k-mers end (``error_boundary`` by ratio, -1 if there is no such end), and how many canonical k-mers lie below it and from it on. ``counts``: a histogram."""
+    edge = error_boundary(counts, ratio).select(F.col("by_ratio").alias("threshold"))
+    rows = counts.crossJoin(F.broadcast(edge))  # one row
+    below = F.col("count") < F.col("threshold")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("kmers"))), F.lit(0))
+    return rows.groupBy("threshold").agg(total(below).alias("weak"), total(~below).alias("solid"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,3 +69,17 @@ def pairs(processed: DataFrame) -> DataFrame:
     """pair_id, mates, kept: what becomes of pairs. Both kept: paired; one: orphan; none: dropped. Needs pair_id."""
     found = processed.groupBy("pair_id").agg(F.count("*").alias("mates"), F.count_if(F.col("fate") == "kept").alias("kept"))
     return found.withColumn("outcome", F.when((F.col("mates") == 2) & (F.col("kept") == 2), "paired").when(F.col("kept") >= 1, "orphan").otherwise("dropped"))
+
+
+def named_pairs(pairs: DataFrame, suffix: str = "") -> DataFrame:
+    """Mates (pair_id, mate, id, seq, scores) of pairs whose ids are name1 and name2. Mates of one name get ``suffix`` and /1 or /2; others keep theirs."""
+    mate = lambda n: F.struct(F.lit(n).alias("mate"), F.when(F.col("name1") == F.col("name2"), F.concat(f"name{n}", F.lit(f"{suffix}/{n}"))).otherwise(F.col(f"name{n}")).alias("id"), F.col(f"seq{n}").alias("seq"), F.col(f"scores{n}").alias("scores"))
+    return pairs.select("pair_id", F.explode(F.array(mate(1), mate(2))).alias("x")).select("pair_id", "x.*")
+
+
+def pair_sinks(mates: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """Mates (pair_id, mate, id, seq, scores) of pairs of which both are kept, and the kept ones whose mate isn't. A pair is sampled as one, by its id; an orphan whose pair isn't drawn goes too."""
+    drawn = F.lit(True) if o.sample >= 1 else F.pmod(F.xxhash64("pair_id", F.lit(o.seed)), F.lit(1 << 20)) < int(o.sample * (1 << 20))
+    rows = process(mates.filter(drawn), replace(o, sample=1.0)).filter(F.col("fate") == "kept").drop("fate")
+    whole = rows.groupBy("pair_id").agg(F.count("*").alias("kept")).filter(F.col("kept") == 2).select("pair_id")
+    return rows.join(whole, "pair_id", "left_semi"), rows.join(whole, "pair_id", "left_anti")

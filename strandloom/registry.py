@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.plans import base, counting, graphs, mates, scalars  # noqa: F401  they register their queries
+from strandloom.plans import algebra, base, counting, graphs, mates, scalars  # noqa: F401  they register their queries
 
 
 def queries() -> dict:
