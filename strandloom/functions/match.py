@@ -41,7 +41,7 @@ def intersect(x: Column, y: Column) -> Column:
 
 
 def invert(m: Column) -> Column:
-    return match(m["b"], m["a"], m["rc"], m["diffs"])
+    return F.when(m.isNotNull(), match(m["b"], m["a"], m["rc"], m["diffs"]))
 
 
 def translate(m: Column, at: Column) -> Column:

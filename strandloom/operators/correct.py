@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import kmers
+from strandloom.operators.similar import similar
 from strandloom.sources.durable import durable
 
 
@@ -55,6 +58,62 @@ def correct_learned(reads: DataFrame, k: int = 31, rounds: int = 2) -> DataFrame
     return correct(reads, k, 2 * row["threshold"], rounds)
 
 
+ALPHABET = "ACGT"
+
+
+def conflict_consensus(root: str, rows: list[tuple[int, str]], least: int, cutoff: int) -> str:
+    """A read's consensus with rows (shift, seq) placed on it without gaps.
+
+    A column is in conflict if its second most frequent base and the read's own
+    occur more than ``cutoff`` times, the read counted. Rows that differ from
+    the read in such a column are another copy's and are set aside. A base that
+    ``least`` rows left confirm stays; else the most frequent base of the rows
+    left is taken, or, outside of conflicts, that of all rows, if it is more
+    frequent than the read's own there; the first of ACGT on a tie.
+    """
+    n = len(root)
+    codes = np.full((len(rows) + 1, n), -1, np.int8)
+    for r, (shift, seq) in enumerate([(0, root), *rows]):
+        begin, end = max(0, shift), min(n, shift + len(seq))
+        if begin < end:
+            codes[r, begin:end] = _CODE[np.frombuffer(seq[begin - shift : end - shift].encode(), np.uint8)]
+    count = lambda part: np.stack([(part == b).sum(0) for b in range(4)])
+    every, own = count(codes), codes[0].astype(int)
+    known, places = own >= 0, np.arange(n)
+    second = np.sort(every, 0)[-2]
+    conflict = (second > cutoff) & known & (every[own, places] > cutoff)
+    foreign = ((codes != codes[0]) & (codes >= 0) & conflict).any(1)
+    left = count(codes[~foreign])
+    mine = np.where(known, left[own, places], 0)
+    called = np.where(left.max(0) > mine, left.argmax(0), np.where((second <= cutoff) & (every.max(0) > mine), every.argmax(0), own))
+    called = np.where(mine >= least, own, called)
+    return "".join(ALPHABET[c] if c >= 0 else root[i] for i, c in enumerate(called))
+
+
+_CODE = np.full(256, -1, np.int8)
+_CODE[list(ALPHABET.encode())] = range(4)
+
+
+def _consensus(least: int, cutoff: int):
+    def run(frames):
+        for frame in frames:
+            found = [conflict_consensus(s, [(int(r["shift"]), r["seq"]) for r in rows], least, cutoff) for s, rows in zip(frame["seq"].tolist(), frame["rows"].tolist())]
+            yield pd.DataFrame({"idx": frame["idx"], "seq": found})
+
+    return run
+
+
+def overlap_correct(reads: DataFrame, k: int = 31, identity: float = 0.95, least: int = 3, cutoff: int = 5, most: int = 50) -> DataFrame:
+    """idx, seq: each read of idx, seq after a consensus with those that are like it (``similar``, at most ``most`` of them); reads without any stay."""
+    reads = durable(reads.select("idx", "seq"), "before-consensus")
+    hits = similar(reads, k, 2, most, identity).select(F.col("a").alias("idx"), "b", "strand", "shift")
+    other = reads.select(F.col("idx").alias("b"), F.col("seq").alias("other"))
+    rows = hits.join(other, "b").select("idx", F.struct("shift", F.when(F.col("strand") == 1, dna.revcomp("other")).otherwise(F.col("other")).alias("seq")).alias("row"))
+    piles = reads.join(rows.groupBy("idx").agg(F.collect_list("row").alias("rows")), "idx")  # a read has at most ``most`` rows
+    fixed = durable(piles.mapInPandas(_consensus(least, cutoff), "idx bigint, seq string"), "consensus")
+    return fixed.unionByName(reads.join(fixed, "idx", "left_anti"))
+
+
 def metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """kind, key, samples, errors of corrected bases by position, base, preceding two bases (from the fourth base on) and quality. ``before``: id, seq, scores; ``after``: id, seq."""
     rows = before.select("id", "seq", "scores").join(after.select("id", F.col("seq").alias("fixed")), "id").filter(F.length("seq") == F.length("fixed"))

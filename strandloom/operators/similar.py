@@ -67,19 +67,19 @@ def _aligned(identity: float):
             one = [s[i : i + n] for s, i, n in zip(frame["sa"], begin_a, size)]
             two = [s[i : i + n] for s, i, n in zip(frame["sb"], begin_b, size)]
             band = max(1, math.floor((1 - identity) * max(map(len, one), default=0) + 1e-9))
-            yield frame.drop(columns=["sa", "sb", "pa", "pb"]).assign(size=size.astype("int32"), differences=banded(one, two, band).astype("int32") if len(frame) else size.astype("int32"))
+            yield frame.drop(columns=["sa", "sb", "pa", "pb"]).assign(shift=shift.astype("int32"), size=size.astype("int32"), differences=banded(one, two, band).astype("int32") if len(frame) else size.astype("int32"))
 
     return run
 
 
 def similar(reads: DataFrame, k: int = 31, least: int = 2, most: int = 50, identity: float = 0.95) -> DataFrame:
-    """a, b, strand, size, differences: reads that overlap by half of a at least, and by ``identity`` of the overlap. ``most`` hits a read, the best first."""
+    """a, b, strand, shift, size, differences: reads that overlap by half of a at least, and by ``identity`` of the overlap; b begins ``shift`` bases after a. ``most`` hits a read, the best first."""
     pairs = seeds(reads, k, least, most)
     first, second = reads.select(F.col("idx").alias("a"), F.col("seq").alias("sa")), reads.select(F.col("idx").alias("b"), F.col("seq").alias("sb"))
     rows = pairs.join(first, "a").join(second, "b").withColumn("sb", F.when(F.col("strand") == 1, dna.revcomp("sb")).otherwise(F.col("sb")))
     span = F.least(F.length("sa") - F.greatest(F.col("pa") - F.col("pb"), F.lit(0)), F.length("sb") - F.greatest(F.col("pb") - F.col("pa"), F.lit(0)))
     rows = rows.filter(span * 2 >= F.length("sa")).select("a", "b", "strand", "pa", "pb", "sa", "sb")
-    found = rows.mapInPandas(_aligned(identity), "a bigint, b bigint, strand int, size int, differences int")
+    found = rows.mapInPandas(_aligned(identity), "a bigint, b bigint, strand int, shift int, size int, differences int")
     good = found.filter(F.col("differences") <= F.floor((1 - identity) * F.col("size") + 1e-9))
     place = F.row_number().over(Window.partitionBy("a").orderBy("differences", F.desc("size"), "b", "strand"))
     return good.withColumn("place", place).filter(F.col("place") <= most).drop("place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, match as M
-from strandloom.operators import excise as X, graph as G, kmers as K, preprocess as P, ranks, reads as R, similar as S
+from strandloom.operators import correct as C, excise as X, graph as G, kmers as K, preprocess as P, ranks, reads as R, similar as S
 from strandloom.plans.base import COUNTS, HISTOGRAM, READS, ctes, km, query, rc, tiles
 from strandloom.plans.counting import K31, SEARCHED, _searched
 from strandloom.plans.graphs import GRAPH, STEPS, _graph, _unitigs
@@ -68,6 +68,14 @@ def seeded_similarity(spark, sf_dir):
     return found.groupBy("a").agg(F.count("*").alias("hits"), F.sum("size").alias("bases"), F.sum("differences").alias("differences"), F.count_if(F.col("strand") == 1).alias("turned"))
 
 
+@query()
+def overlap_correct(spark, sf_dir):
+    """Reads that the consensus with similar reads changes."""
+    reads = tiles(spark, sf_dir).select("idx", "seq")
+    fixed = C.overlap_correct(reads, 31, 0.95, 3, 2)
+    return fixed.join(reads.select("idx", F.col("seq").alias("was")), "idx").filter(F.col("seq") != F.col("was")).select("idx", "seq")
+
+
 @query(ctes(*GRAPH) + ", w AS (SELECT a, size, row_number() OVER (PARTITION BY a ORDER BY size DESC) AS r FROM arcs) SELECT a, CAST(max(size) FILTER (WHERE r = 1) AS INTEGER) AS longest, CAST(max(size) FILTER (WHERE r = 2) AS INTEGER) AS second FROM w GROUP BY 1")
 def second_overlaps(spark, sf_dir):
     return G.overlap_ranks(_graph(spark, sf_dir)[1])

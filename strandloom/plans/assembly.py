@@ -19,6 +19,8 @@ class Settings:
     read_length: int = 100
     insert: int = 200
     least_overlap: int = 0
+    identity: float = 0.96
+    conflict: int = 5
     cleaning: P.Options = field(default_factory=P.Options)
 
     @property
@@ -32,7 +34,8 @@ def clean(reads: DataFrame, s: Settings) -> DataFrame:
 
 def reduce_reads(reads: DataFrame, s: Settings) -> DataFrame:
     """Corrected, distinct reads that aren't part of others."""
-    fixed = reads.drop("seq").join(correct.correct(reads, s.k, 2 * s.support, 1), "id")
+    fixed = durable(reads.drop("seq").join(correct.correct(reads, s.k, 2 * s.support, 1), "id"), "corrected")
+    fixed = fixed.select("idx", "id").join(correct.overlap_correct(fixed, s.k, s.identity, s.support, s.conflict), "idx")
     unique = durable(qc.unique_reads(fixed), "unique")
     return durable(unique.join(qc.contained(unique, s.k), "id", "left_anti"), "reduced")
 

@@ -7,7 +7,7 @@ import __spark_entry__
 from strandloom import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("kmer_histogram", "strand_counts_even", "dedup_reads", "exact_overlaps", "irreducible_edges", "graph_stats", "pair_support", "preprocess_stats", "event_windows", "grep_reads")
+QUICK = ("kmer_histogram", "strand_counts_even", "dedup_reads", "exact_overlaps", "irreducible_edges", "graph_stats", "pair_support", "preprocess_stats", "event_windows", "grep_reads", "lexicographic_rank", "prefix_set", "match_algebra", "seeded_similarity", "pair_sinks")
 
 
 def test_every_oracle_has_its_query():
