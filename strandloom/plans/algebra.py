@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, match as M
-from strandloom.operators import correct as C, excise as X, graph as G, kmers as K, preprocess as P, ranks, reads as R, similar as S
+from strandloom.operators import correct as C, excise as X, graph as G, kmers as K, preprocess as P, ranks, reads as R, search as Q, similar as S
 from strandloom.plans.base import COUNTS, HISTOGRAM, READS, ctes, km, query, rc, tiles
 from strandloom.plans.counting import K31, SEARCHED, _searched
 from strandloom.plans.graphs import GRAPH, STEPS, _graph, _unitigs
@@ -114,3 +114,21 @@ def pair_sinks(spark, sf_dir):
     pairs = R.paired(tiles(spark, sf_dir)).select("pair_id", *[c for n, s in ((1, "first"), (2, "second")) for c in (F.concat(F.lit("p"), F.col("pair_id").cast("string")).alias(f"name{n}"), F.col(s).alias(f"seq{n}"), F.array().cast("array<int>").alias(f"scores{n}"))])
     paired, orphans = P.pair_sinks(P.named_pairs(pairs, "x"), P.Options(least_length=90))
     return paired.select(F.lit("paired").alias("sink"), "id", "seq").unionByName(orphans.select(F.lit("orphan").alias("sink"), "id", "seq"))
+
+
+@query("WITH RECURSIVE " + ctes(*GRAPH)[5:] + """, wk(start, nodes, node, seq, size, circle) AS (SELECT node, [node], node, seq, 0, false FROM ori WHERE node NOT IN (SELECT b FROM arcs) AND node IN (SELECT a FROM arcs)
+  UNION ALL SELECT start, list_append(nodes, r.b), r.b, concat(w.seq, substr(o.seq, r.size + 1)), w.size + length(o.seq) - r.size, list_contains(nodes, r.b) FROM wk w JOIN arcs r ON r.a = w.node JOIN ori o ON o.node = r.b WHERE NOT circle AND w.size <= 200)
+SELECT start, CAST(len(nodes) AS INTEGER) AS nodes, CAST(size AS BIGINT) AS size, CASE WHEN circle THEN 'circle' WHEN size > 200 THEN 'long' ELSE 'end' END AS state, seq FROM wk WHERE circle OR size > 200 OR node NOT IN (SELECT a FROM arcs)""")
+def walk_strings(spark, sf_dir):
+    """Paths of 200 bases and more, or to a dead end, from all vertices that nothing leads to."""
+    vertices, arcs = _graph(spark, sf_dir)
+    starts = arcs.select(F.col("a").alias("start")).distinct().join(arcs.select(F.col("b").alias("start")).distinct(), "start", "left_anti")
+    found, _ = Q.paths(vertices, arcs, starts, 200, 1 << 20)
+    strings = Q.path_strings(vertices, arcs, found)
+    return found.join(strings, ["start", "nodes"]).select("start", F.size("nodes").alias("nodes"), F.element_at("ends", -1).alias("size"), "state", "seq")
+
+
+@query()
+def wide_bubbles(spark, sf_dir):
+    """The weaker sides of bubbles of several vertices and up to 300 bases."""
+    return Q.bubbles(*_graph(spark, sf_dir), 300)

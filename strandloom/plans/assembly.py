@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators import correct, graph as G, overlap as O, preprocess as P, qc
+from strandloom.operators import correct, graph as G, overlap as O, preprocess as P, qc, search
 from strandloom.sources.durable import durable
 
 
@@ -62,7 +62,11 @@ def contigs(vertices: DataFrame, arcs: DataFrame, s: Settings) -> tuple[DataFram
     for least in (s.k + 1, s.k + 1 + step, s.insert):
         vertices, arcs = trim_and_smooth(vertices, arcs, least)
     weak = G.length_differences(vertices, arcs, s.insert, s.overlap, max(1, s.read_length // 10))
-    return trim_and_smooth(vertices, durable(G.drop_arcs(arcs, weak), "round"), s.k + 1)
+    vertices, arcs = trim_and_smooth(vertices, durable(G.drop_arcs(arcs, weak), "round"), s.k + 1)
+    wide = durable(search.bubbles(vertices, arcs, 2 * s.insert), "wide")  # sides of several vertices, once, as its rounds are many
+    vertices, arcs = (durable(x, "round") for x in G.drop_vertices(vertices, arcs, wide))
+    merged, arcs = G.compact(vertices, arcs)
+    return merged.drop("members"), arcs
 
 
 def assemble(reads: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
