@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import components as CC, graph as G, kmers as K, overlap as O, qc, reads as R, walk as W
+from strandloom.operators import components as CC, graph as G, kmers as K, matewalk as MW, overlap as O, pairlinks as PL, preprocess as P, qc, reads as R, walk as W
 from strandloom.plans import assembly
 from strandloom.plans.base import READS, ctes, km, query, rc, tiles
 from strandloom.sources import records
@@ -307,3 +307,51 @@ def assemble_contigs(spark, sf_dir):
     """The whole run, from reads to contigs."""
     found, _ = assembly.assemble(R.with_scores(tiles(spark, sf_dir)), assembly.Settings(least_overlap=45))
     return found.select("v", F.length("seq").alias("len"), "cov", "seq")
+
+
+INSERT = 160
+SUPPORT = f"""wk(start, first, node, seq, far, nodes, done) AS (SELECT a, b, b, concat(x.seq, substr(y.seq, r.size + 1)), length(y.seq) - r.size, [a, b], length(y.seq) - r.size > {INSERT * 3 // 2} OR a = b
+  FROM arcs r JOIN ori x ON x.node = a JOIN ori y ON y.node = b WHERE a IN (SELECT a FROM arcs WHERE size < {INSERT} * 0.8)
+  UNION ALL SELECT start, first, r.b, concat(w.seq, substr(y.seq, r.size + 1)), far + length(y.seq) - r.size, list_append(nodes, r.b), far + length(y.seq) - r.size > {INSERT * 3 // 2} OR list_contains(nodes, r.b)
+  FROM wk w JOIN arcs r ON r.a = w.node JOIN ori y ON y.node = r.b WHERE NOT done),
+ways AS MATERIALIZED (SELECT * FROM wk WHERE done OR node NOT IN (SELECT a FROM arcs)),
+given AS (SELECT start FROM ways GROUP BY 1 HAVING count(*) > 128),
+jd AS MATERIALIZED (SELECT a, b, seq, length(seq) - size - 1 AS p FROM arcs JOIN ori ON node = a WHERE size < {INSERT} * 0.8 AND a NOT IN (SELECT start FROM given)),
+seeds AS (SELECT a, b, 0 AS side, substr(seq, CAST(greatest(p - 15 * i, 0) + 1 AS INTEGER), 31) AS w FROM jd, range(3) t(i)),
+gl AS (SELECT a, b, seq, greatest(p - 15, 0) + {INSERT} + 16 * i AS t FROM (SELECT j.a, j.b, w.seq, j.p FROM ways w JOIN jd j ON j.a = w.start AND j.b = w.first), range(-1, 2) t(i)),
+ak AS MATERIALIZED (SELECT DISTINCT a, b, side, least(w, {rc('w')}) AS canon FROM (SELECT * FROM seeds UNION ALL SELECT a, b, 1, substr(seq, CAST(t - 30 AS INTEGER), 31) FROM gl WHERE length(seq) >= t) WHERE length(w) = 31),
+mt AS (SELECT pair_id, 1 AS mate, first AS seq FROM pairs UNION ALL SELECT pair_id, 2, second FROM pairs),
+mk AS (SELECT pair_id, mate, substr(seq, CAST(i AS INTEGER), 31) AS w FROM (SELECT *, unnest(range(1, length(seq) - 29)) AS i FROM mt WHERE length(seq) >= 31)),
+sp AS MATERIALIZED (SELECT * FROM (SELECT pair_id, mate, least(w, {rc('w')}) AS canon FROM mk) WHERE canon IN (SELECT canon FROM ak)),
+pt AS (SELECT DISTINCT pair_id, mate, canon FROM sp WHERE canon IN (SELECT canon FROM sp GROUP BY 1 HAVING count(*) <= 600)),
+ct AS (SELECT n.a, n.b, count(DISTINCT n.pair_id) AS n FROM (SELECT a, b, pair_id, mate FROM ak JOIN pt USING (canon) WHERE side = 0) n JOIN (SELECT a, b, pair_id, 3 - mate AS mate FROM ak JOIN pt USING (canon) WHERE side = 1) f USING (a, b, pair_id, mate) GROUP BY 1, 2),
+su AS MATERIALIZED (SELECT r.a, r.b, r.size, CASE WHEN jd.a IS NOT NULL THEN 'judged' WHEN r.size < {INSERT} * 0.8 THEN 'open' ELSE 'wide' END AS state, CASE WHEN jd.a IS NOT NULL THEN coalesce(ct.n, 0) END AS pairs FROM arcs r LEFT JOIN jd ON jd.a = r.a AND jd.b = r.b LEFT JOIN ct ON ct.a = r.a AND ct.b = r.b),
+lost AS (SELECT a, b FROM su WHERE pairs < 1)"""
+
+
+@query("WITH RECURSIVE " + ctes(*GRAPH, R.SQL_PAIRS, SUPPORT)[5:] + "SELECT a, b, size, state, coalesce(pairs, -1) AS pairs, NOT EXISTS (SELECT 1 FROM lost WHERE (lost.a = su.a AND lost.b = su.b) OR (lost.a = xor(su.b, 1) AND lost.b = xor(su.a, 1))) AS kept FROM su")
+def pe_edge_removal(spark, sf_dir):
+    """Arcs with the pairs an insert apart that go over them (-1: not judged); those without any, from either end, go."""
+    vertices, arcs = _graph(spark, sf_dir)
+    found = durable(PL.edge_support(vertices, arcs, R.paired(tiles(spark, sf_dir)), 31, INSERT), "support")
+    left = PL.drop_unsupported(arcs, found).select("a", "b", F.lit(True).alias("kept"))
+    rows = found.join(left, ["a", "b"], "left")
+    return rows.select("a", "b", "size", "state", F.coalesce("pairs", F.lit(-1)).alias("pairs"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query()
+def join_islands(spark, sf_dir):
+    """Dead ends of the unitigs of cleaned reads, tied by pairs and joined by walks; those that no walk joins have a null ``added``."""
+    clean = P.process(R.with_scores(tiles(spark, sf_dir)), P.Options(gc=(0.3, 0.7))).filter(F.col("fate") == "kept")
+    reads = durable(qc.unique_reads(clean.select("idx", "id", "seq")), "unique")
+    sizes = O.lengths(reads)
+    arcs = G.single_edges(G.with_twins(O.irreducible(O.fanout_cap(durable(O.exact(reads, LEAST), "overlaps"), sizes), sizes)))
+    vertices, arcs = G.compact(reads.select(F.col("idx").alias("v"), "seq", F.lit(1).cast("bigint").alias("cov")), durable(arcs, "arcs"))
+    vertices, arcs = durable(vertices, "unitigs"), durable(arcs, "unitig-arcs")
+    every = tiles(spark, sf_dir, 20)  # each 21-mer inside a text is in four of them
+    counts = durable(K.strand_counts(every, 21), "counts")
+    mates = durable(PL.mates_of(R.paired(every)), "mates")
+    ends = durable(PL.dead_ends(vertices, arcs, 100), "dead-ends")
+    cutoff = MW.repeat_cutoff(every, 21).first()["cutoff"]
+    links = PL.end_links(PL.end_reads(ends, mates, counts, 21, 200, cutoff), 2)
+    return PL.walk_links(links, ends, MW.Places(every, 21), counts, MW.Limits(seed=21, most_overlap=80, support=2, leaves=128, most_length=240))
