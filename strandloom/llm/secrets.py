@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false findings.
 
 Candidates come from expressions for assignments, well-known key shapes and
-long mixed runs. A forest judges each by its length, character classes and
+long mixed runs, however long. A forest judges each by its length, character classes and
 transitions, dictionary coverage, path and neighbouring words. It is trained on
 labelled findings; ``labelled_findings`` makes a seeded set of them from shapes
 of real and false findings, and ``train`` takes any other.
@@ -13,7 +13,6 @@ found twice is two findings. Overlapping candidates become the longest one.
 from __future__ import annotations
 
 import functools
-import math
 import re
 from collections.abc import Iterator
 
@@ -22,14 +21,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-ASSIGNED = re.compile(r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth|token|secret|passw(?:or)?d|pwd|credential|bearer)[\w-]{0,20}["']?[ \t]{0,4}(?:[:=]|:=|=>)?[ \t]{0,4}["']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,512}={0,2})""")
-SHAPES = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----")
-RUNS = re.compile(r"[A-Za-z0-9+/_-]{20,512}={0,2}")
+ASSIGNED = re.compile(r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth|token|secret|passw(?:or)?d|pwd|credential|bearer)[\w-]{0,20}["']?[ \t]{0,4}(?:[:=]|:=|=>)?[ \t]{0,4}["']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,}={0,2})""")
+SHAPES = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----")
+RUNS = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: What a text must hold to have a candidate at all: a run, a short shape's beginning, or a keyword and eight letters as ASSIGNED takes them. It runs in the JVM before rows go to Python.
 SIEVE = r"""[A-Za-z0-9+/_-]{20}|xox[abprs]-|eyJ|-----BEGIN|(?iu:key|auth|token|secret|passw|pwd|credential|bearer)\S{0,20}["']?[ \t]{0,4}[:=>]{0,2}[ \t]{0,4}["']?[^\s"']{8}"""
 SECRET_WORDS = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "api")
 OTHER_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "uuid", "guid", "revision", "digest", "etag", "example", "placeholder", "sample", "build", "order", "invoice", "isbn", "version")
 DICTIONARY = ("example", "test", "dummy", "your", "here", "change", "me", "placeholder", "sample", "user", "name", "service", "account", "config", "default", "value", "string", "number", "system", "manager", "factory", "controller", "handler", "request", "response", "the", "and", "ing", "tion", "ment", "ver", "for", "with", "that", "this", "from", "data", "file", "path", "index", "home", "local", "lib", "src", "main", "password", "secret", "token", "key", "xxxx", "1234", "abcd", "ung", "keit", "lich", "que", "eau", "elle", "cion", "mente", "ado")
+#: Kinds of findings; of equal spans the first kind is told, as a known shape says more than an assignment, and that more than a run.
+KINDS = ("shape", "assigned", "run")
 FEATURES = ("length", "digits", "lower", "upper", "other", "entropy", "transitions", "vowels", "repeats", "coverage", "path", "secret_word", "other_word", "assigned", "shape", "hex", "one_class", "sequence")
 
 
@@ -38,7 +39,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(1), m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), "shape") for m in SHAPES.finditer(text)]
     found += [(m.start(), m.end(), "run") for m in RUNS.finditer(text) if any(map(str.isdigit, m.group()))]
-    found.sort(key=lambda f: (f[0], -f[1], f[2]))
+    found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
     kept: list[tuple[int, int, str]] = []
     for f in found:
         if kept and f[0] < kept[-1][1]:
@@ -49,6 +50,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+_CLASS = np.full(256, 3, np.uint8)  # digits, lower, upper, other
+for _i, _letters in enumerate((b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    _CLASS[list(_letters)] = _i
+
+
 def _coverage(low: str) -> float:
     hit = bytearray(len(low))
     for w in DICTIONARY:
@@ -60,33 +66,32 @@ def _coverage(low: str) -> float:
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    s = text[start:end][:512]
+    s = text[start:end]
     n, low = len(s), s.lower()
-    classes = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in s]
-    counts: dict[str, int] = {}
-    for c in s:
-        counts[c] = counts.get(c, 0) + 1
+    codes = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+    classes = _CLASS[codes]
+    share = np.bincount(classes, minlength=4) / n
+    counts = np.bincount(codes)
+    odds = counts[counts > 0] / n
+    step = np.diff(codes.astype(np.int16))
     before = re.findall(r"[a-z0-9]+", text[max(0, start - 48) : start].lower())
     near = set(before[-5:])
     return [
         end - start,
-        classes.count("d") / n,
-        classes.count("l") / n,
-        classes.count("u") / n,
-        classes.count("o") / n,
-        -sum(v / n * math.log2(v / n) for v in counts.values()),
-        sum(a != b for a, b in zip(classes, classes[1:])) / max(1, n - 1),
-        sum(c in "aeiouy" for c in low) / n,
-        sum(a == b for a, b in zip(s, s[1:])) / max(1, n - 1),
+        *map(float, share),
+        float(-(odds * np.log2(odds)).sum()),
+        float((classes[1:] != classes[:-1]).sum()) / max(1, n - 1),
+        sum(map(low.count, "aeiouy")) / n,
+        float((step == 0).sum()) / max(1, n - 1),
         _coverage(low),
         float(start > 0 and text[start - 1] in "/\\") + s.count("/") / n * 4,
         float(any(w in b for b in near for w in SECRET_WORDS)),
         float(any(w in near for w in OTHER_WORDS)),
         float(kind == "assigned"),
         float(kind == "shape"),
-        float(all(c in "0123456789abcdef" for c in low)),
-        float(len(set(classes)) == 1),
-        sum(ord(b) - ord(a) == 1 for a, b in zip(s, s[1:])) / max(1, n - 1),
+        float(not low.strip("0123456789abcdef")),
+        float(share.max() == 1),
+        float((step == 1).sum()) / max(1, n - 1),
     ]
 
 
@@ -104,6 +109,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
         lambda: (pick(["", "url ", "use "]), pick(["ghp_", "gho_"]) + draw(alnum, 36)),
         lambda: ("Authorization: Bearer ", draw(b64, int(rng.integers(24, 80)))),
         lambda: (pick(["", "jwt "]), "eyJ" + draw(alnum, 20) + "." + draw(alnum, 40) + "." + draw(alnum, 30)),
+        lambda: (pick(["", "key ", "use "]), pick(["AIza" + draw(alnum + "_-", 35), "sk_live_" + draw(alnum, 24), "xoxb-" + draw("0123456789", 12) + "-" + draw(alnum, int(rng.integers(10, 25)))])),
         lambda: ("password = " + pick(["", '"']), draw(alnum + "!@#$%", int(rng.integers(10, 24)))),
     )
     false = (
@@ -113,6 +119,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
         lambda: (pick(["/", "path /", "see /"]), "/".join(pick(words) + str(int(rng.integers(10))) for _ in range(int(rng.integers(4, 8))))),
         lambda: (pick(["", "class ", "call "]), "".join(pick(words).title() for _ in range(int(rng.integers(4, 8)))) + str(int(rng.integers(100)))),
         lambda: (pick(["token = ", "api_key: ", 'secret = "', "password="]), pick(["your-api-key-here", "xxxxxxxxxxxxxxxxxxxx", "changeme1234", "YOUR_SECRET_KEY_HERE", "example-token-1234", "placeholder_value_1", "12345678901234567890", "abcdefghijklmnopqrst", "test-password-123", "dummy_secret_value"])),
+        lambda: (pick(["", "key ", "token = ", "use "]), pick(["AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 9) + "EXAMPLE", "ghp_" + pick("xX0") * 36, "sk_test_" + "your" + "example" * 2 + "key", "xoxb-" + "0" * 12 + "-your-token-here", "AIza" + "Example" * 5])),
         lambda: (pick(["the token ", "a secret ", "key ", "password "]), pick(words) + pick(words) + pick(words)),
         lambda: (pick(["", "token "]), pick(words) + draw("0123456789", 3) + pick(words) + pick(words) + pick(words)),
     )

@@ -49,3 +49,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until no column of ``df`` has them, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
