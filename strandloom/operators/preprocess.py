@@ -83,3 +83,16 @@ def pair_sinks(mates: DataFrame, o: Options = Options()) -> tuple[DataFrame, Dat
     rows = process(mates.filter(drawn), replace(o, sample=1.0)).filter(F.col("fate") == "kept").drop("fate")
     whole = rows.groupBy("pair_id").agg(F.count("*").alias("kept")).filter(F.col("kept") == 2).select("pair_id")
     return rows.join(whole, "pair_id", "left_semi"), rows.join(whole, "pair_id", "left_anti")
+
+
+def sorted_pairs(pairs: DataFrame, suffix: str = "", o: Options = Options()) -> DataFrame:
+    """``pair_sinks`` of ``named_pairs`` as one table with ``sink`` (paired, orphan). As a pair is one row, nothing is shuffled."""
+    rows = pairs if o.sample >= 1 else pairs.filter(F.pmod(F.xxhash64("pair_id", F.lit(o.seed)), F.lit(1 << 20)) < int(o.sample * (1 << 20)))
+    same = F.col("name1") == F.col("name2")
+    for n in (1, 2):
+        read_id = F.when(same, F.concat(f"name{n}", F.lit(f"{suffix}/{n}"))).otherwise(F.col(f"name{n}"))
+        done = process(rows.withColumns({"id": read_id, "seq": F.col(f"seq{n}"), "scores": F.col(f"scores{n}")}), replace(o, sample=1.0))
+        rows = done.withColumn(f"mate{n}", F.struct(F.lit(n).alias("mate"), "id", "seq", "scores", (F.col("fate") == "kept").alias("kept"))).drop("id", "seq", "scores", "fate")
+    sink = F.when(F.col("mate1.kept") & F.col("mate2.kept"), "paired").otherwise("orphan").alias("sink")
+    each = F.explode(F.filter(F.array("mate1", "mate2"), lambda m: m["kept"])).alias("x")
+    return rows.select("pair_id", sink, each).select("sink", "pair_id", "x.mate", "x.id", "x.seq", "x.scores")

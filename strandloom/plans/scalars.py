@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions import dna
+from strandloom.functions import dna, kernels
 from strandloom.operators import preprocess as P, reads as R
-from strandloom.plans.base import READS, ctes, query, rc, table, tiles
+from strandloom.plans.base import READS, ctes, documents, query, rc, table, tiles
 from strandloom.sources import records
 from strandloom.streaming import lookup
 
@@ -53,7 +53,7 @@ def low_complexity(spark, sf_dir):
 SELECT id, qual, CAST(low AS INTEGER) AS low, CAST(list_sum(scores) AS INTEGER) AS total, CAST(list_max(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS INTEGER) AS most FROM s""")
 def quality_scores(spark, sf_dir):
     rows = R.with_scores(tiles(spark, sf_dir)).select("id", "scores", dna.phred_string("scores").alias("qual"))
-    return rows.select("id", "qual", dna.low_quality_bases("scores").alias("low"), F.aggregate("scores", F.lit(0), lambda a, x: a + x).alias("total"), F.array_max(dna.phred("qual")).alias("most"))
+    return rows.select("id", "qual", dna.low_quality_bases("scores").alias("low"), kernels.total("scores").alias("total"), F.array_max(dna.phred("qual")).alias("most"))
 
 
 @query(ctes(READS, SCORED) + """, e AS (SELECT id, seq, scores, unnest(range(1, length(seq) + 1)) AS i FROM scored),
@@ -80,9 +80,8 @@ def adapter_trim(spark, sf_dir):
 SELECT id, CAST(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(s, CAST(i AS INTEGER), 1) <> substr(t, CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) AS INTEGER) AS differences,
   array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(s, CAST(i AS INTEGER), 1) = substr(t, CAST(i AS INTEGER), 1) THEN '.' ELSE substr(t, CAST(i AS INTEGER), 1) END), '') AS marks FROM h""")
 def hamming_difference(spark, sf_dir):
-    r = tiles(spark, sf_dir)
-    rows = r.select("doc_id", (F.col("pos") + 50).alias("pos"), "id", F.col("seq").alias("s")).join(r.select("doc_id", "pos", F.col("seq").alias("t")), ["doc_id", "pos"])
-    return rows.select("id", dna.hamming("s", "t", F.least(F.length("s"), F.length("t"))).alias("differences"), dna.diff_string("s", "t").alias("marks"))
+    rows = R.neighbours(documents(spark, sf_dir), 50)
+    return rows.select("id", dna.hamming("seq", "next", F.least(F.length("seq"), F.length("next"))).alias("differences"), dna.diff_string("seq", "next").alias("marks"))
 
 
 @query("""WITH n AS (SELECT concat(source, '/', doc_id, '/', CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '1' WHEN 3 THEN '2' WHEN 4 THEN 'f' WHEN 5 THEN 'r' ELSE 'x' END) AS id FROM documents)
