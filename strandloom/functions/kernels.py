@@ -10,6 +10,8 @@ from pyspark.sql import functions as F, types as T
 from strandloom.functions import flat
 
 INTS = T.ArrayType(T.IntegerType())
+#: What a letter adds to its score.
+OF_BASE = (np.arange(256) * 7 % 41).astype(np.uint8)
 OPERATIONS = np.frombuffer(b"MIDNSHP=X", np.uint8)
 
 
@@ -26,9 +28,25 @@ def _given(a: pa.Array) -> int:
     return a[0].as_py() if len(a) else 0
 
 
+def _trimer_pairs(two: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Pairs of equal trimers of each row of 2-bit codes, without its last trimer."""
+    n = np.diff(bounds)
+    counted = np.ones(len(two), bool)
+    for j in range(1, 4):  # no trimer that counts begins at a row's last three places
+        counted[bounds[1:][n >= j] - j] = False
+    trimer = np.zeros(len(two), np.int32)
+    trimer[:-2] = (two[:-2] << 4) | (two[1:-1] << 2) | two[2:]
+    key = np.repeat(np.arange(len(n), dtype=np.int32) << 6, np.maximum(n - 3, 0)) + trimer[counted]
+    times = np.bincount(key, minlength=len(n) << 6).reshape(len(n), 64)
+    return (np.einsum("ij,ij->i", times, times) - np.maximum(n - 3, 0)) / 2.0
+
+
 def _dust(seq: pa.Array) -> pa.Array:
     codes, bounds = flat.text(seq)
     n = np.diff(bounds)
+    two = flat.TWO_BITS[codes] if codes.dtype == np.uint8 else None
+    if two is not None and two.max(initial=0) < 4:
+        return flat.where_valid(pa.array(np.where(n < 3, 0.0, _trimer_pairs(two, bounds) / np.maximum(n - 2, 1))), seq)
     if codes.dtype != np.uint8:  # few and far between: letters by their rank
         codes = np.unique(codes, return_inverse=True)[1]
     bits = np.int64(max(7, int(codes.max(initial=0)).bit_length()))
@@ -109,8 +127,13 @@ def diff_string(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _scores(seq: pa.Array) -> pa.Array:
     codes, bounds = flat.text(seq)
-    _, place = flat.rows(bounds)
-    return flat.where_valid(_lists((codes.astype(np.int64) * 7 + (place + 1) * 13) % 41, bounds), seq)
+    n = np.diff(bounds)
+    if codes.dtype == np.uint8 and len(n) and n[0] and (n == n[0]).all():  # most windows are of one size
+        found = (OF_BASE[codes].reshape(-1, n[0]) + (np.arange(1, n[0] + 1) * 13 % 41).astype(np.uint8)).reshape(-1)
+        found -= np.uint8(41) * (found >= 41)
+    else:
+        found = (codes.astype(np.int64) * 7 + (flat.rows(bounds)[1] + 1) * 13) % 41
+    return flat.where_valid(_lists(found, bounds), seq)
 
 
 @F.arrow_udf(INTS)
@@ -119,82 +142,94 @@ def scores(seq: pa.Array) -> pa.Array:
     return flat.pieces(_scores, seq)
 
 
+def _phred(qual: pa.Array, offset: int) -> pa.Array:
+    codes, bounds = flat.text(qual)
+    return _lists(codes.astype(np.int32) - offset, bounds)
+
+
 @F.arrow_udf(INTS)
 def phred(qual: pa.Array, offset: pa.Array) -> pa.Array:
-    def some(qual: pa.Array) -> pa.Array:
-        codes, bounds = flat.text(qual)
-        return _lists(codes.astype(np.int64) - _given(offset), bounds)
+    return flat.pieces(lambda q: _phred(q, _given(offset)), qual)
+
 
-    return flat.pieces(some, qual)
+def _phred_string(q: pa.Array, plus: int, top: int) -> pa.Array:
+    if q.flatten().null_count:  # nulls have no letter
+        q = pa.array([None if x is None else [v for v in x if v is not None] for x in q.to_pylist()], q.type)
+    values, bounds = flat.numbers(q)
+    codes = np.minimum(values.astype(np.int64), top) + plus
+    if len(codes) and codes.min() < 0:  # nor have negative ones
+        row, _ = flat.rows(bounds)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row[codes >= 0], minlength=len(q)))])
+        codes = codes[codes >= 0]
+    codes &= 255
+    return flat.where_valid(flat.strings(codes.astype(np.uint8 if codes.max(initial=0) < 128 else np.uint32), bounds), q)
 
 
 @F.arrow_udf(T.StringType())
 def phred_string(q: pa.Array, offset: pa.Array, most: pa.Array) -> pa.Array:
     plus, top = _given(offset), _given(most)
+    return flat.pieces(lambda q: _phred_string(q, plus, top), q)
 
-    def some(q: pa.Array) -> pa.Array:
-        if q.flatten().null_count:  # nulls have no letter
-            q = pa.array([None if x is None else [v for v in x if v is not None] for x in q.to_pylist()], q.type)
-        values, bounds = flat.numbers(q)
-        codes = np.minimum(values.astype(np.int64), top) + plus
-        if len(codes) and codes.min() < 0:  # nor have negative ones
-            row, _ = flat.rows(bounds)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(row[codes >= 0], minlength=len(q)))])
-            codes = codes[codes >= 0]
-        codes %= 256
-        return flat.where_valid(flat.strings(codes.astype(np.uint8 if codes.max(initial=0) < 128 else np.uint32), bounds), q)
 
-    return flat.pieces(some, q)
+def _at_most(q: pa.Array, top: int) -> pa.Array:
+    bounds = flat.numbers(q)[1]
+    low = pc.fill_null(pc.less_equal(q.flatten(), top), False).to_numpy(zero_copy_only=False)
+    sums = np.concatenate([[0], np.cumsum(low, dtype=np.int64)])
+    return flat.where_valid(_ints(np.diff(sums[bounds])), q)
 
 
 @F.arrow_udf(T.IntegerType())
 def at_most(q: pa.Array, most: pa.Array) -> pa.Array:
     """How many numbers are at most a given one."""
     top = _given(most)
+    return flat.pieces(lambda q: _at_most(q, top), q)
 
-    def some(q: pa.Array) -> pa.Array:
-        sizes = flat.numbers(q)[1]
-        row, _ = flat.rows(sizes)
-        low = pc.fill_null(pc.less_equal(q.flatten(), top), False).to_numpy(zero_copy_only=False)
-        return flat.where_valid(_ints(np.bincount(row[low], minlength=len(q))), q)
 
-    return flat.pieces(some, q)
+def _total(q: pa.Array) -> pa.Array:
+    values, bounds = flat.numbers(q)
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return flat.where_valid(_ints(np.diff(sums[bounds])), q)
 
 
 @F.arrow_udf(T.IntegerType())
 def total(q: pa.Array) -> pa.Array:
     """The sum of a list."""
+    return flat.pieces(_total, q)
+
 
-    def some(q: pa.Array) -> pa.Array:
-        values, bounds = flat.numbers(q)
-        sums = np.concatenate([[0], np.cumsum(values.astype(np.int64))])
-        return flat.where_valid(_ints(np.diff(sums[bounds])), q)
+def _greatest(q: pa.Array) -> pa.Array:
+    """The largest number of each list; null for an empty one. Lists hold no nulls."""
+    values, bounds = flat.numbers(q)
+    has = np.flatnonzero(np.diff(bounds))
+    found = np.zeros(len(q), np.int64)
+    if len(has):
+        found[has] = np.maximum.reduceat(values, bounds[has])
+    return pa.array(found.astype(np.int32), mask=np.diff(bounds) == 0)
 
-    return flat.pieces(some, q)
+
+def _soft_clip(q: pa.Array, least: int) -> pa.Array:
+    values, bounds = flat.numbers(q)
+    n = np.diff(bounds)
+    kept, has = n.copy(), np.flatnonzero(n)
+    if len(has):
+        row, place = flat.rows(bounds)
+        sums = np.concatenate([[0], np.cumsum(least - values.astype(np.int64))])
+        after = sums[bounds[1:]][row] - sums[:-1]  # from a place to the end
+        best = np.zeros(len(n), np.int64)
+        best[has] = np.maximum.reduceat(after, bounds[has])
+        at = np.zeros(len(n), np.int64)
+        top = np.flatnonzero(after == best[row])
+        at[row[top]] = place[top]  # the last one stays
+        low = np.zeros(len(n), bool)
+        low[has] = values[bounds[has + 1] - 1] < least
+        kept = np.where(low & (best > 0), at, n)
+    return flat.where_valid(_ints(kept), q)
 
 
 @F.arrow_udf(T.IntegerType())
 def soft_clip(q: pa.Array, trim: pa.Array) -> pa.Array:
     least = _given(trim)
-
-    def some(q: pa.Array) -> pa.Array:
-        values, bounds = flat.numbers(q)
-        n = np.diff(bounds)
-        kept, has = n.copy(), np.flatnonzero(n)
-        if len(has):
-            row, place = flat.rows(bounds)
-            sums = np.concatenate([[0], np.cumsum(least - values.astype(np.int64))])
-            after = sums[bounds[1:]][row] - sums[:-1]  # from a place to the end
-            best = np.zeros(len(n), np.int64)
-            best[has] = np.maximum.reduceat(after, bounds[has])
-            at = np.zeros(len(n), np.int64)
-            at[has] = np.maximum.reduceat(np.where(after == best[row], place, -1), bounds[has])
-            low = np.zeros(len(n), bool)
-            low[has] = values[bounds[has + 1] - 1] < least
-            kept = np.where(low & (best > 0), at, n)
-        return flat.where_valid(_ints(kept), q)
-
-    return flat.pieces(some, q)
+    return flat.pieces(lambda q: _soft_clip(q, least), q)
 
 
 def _compact_cigar(a: pa.Array) -> pa.Array:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.functions import dna
+from strandloom.functions import dna, flat, kernels
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,53 @@ def process(reads: DataFrame, o: Options = Options()) -> DataFrame:
     return rows.withColumn("fate", found)
 
 
+def _shortened(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return codes[kept], values[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+
+
+def fates(seq: pa.Array, scores: pa.Array, o: Options) -> tuple[pa.Array, pa.Array]:
+    """Clipped seq and fate of ``process`` for a batch of reads in ASCII without nulls. Ambiguity codes, soft clip and sampling aren't told here."""
+    if o.ambiguous or o.trim or o.sample < 1:
+        raise ValueError("options that need process")
+    codes, bounds = flat.text(seq)
+    values = flat.numbers(scores)[0]
+    if o.adapter:
+        one, two = (pc.find_substring(seq, a).to_numpy(zero_copy_only=False) for a in o.adapter)
+        hit = np.flatnonzero((one >= 0) | (two >= 0))
+        at = bounds[hit] + np.where(one[hit] >= 0, one[hit], two[hit])
+        n = np.where(one[hit] >= 0, len(o.adapter[0]), len(o.adapter[1]))
+        kept = np.ones(len(codes), bool)
+        for j in range(int(n.max(initial=0))):
+            kept[at[n > j] + j] = False
+        codes, values, bounds = _shortened(codes, values, bounds, kept)
+    if o.hard_clip:
+        codes, values, bounds = _shortened(codes, values, bounds, flat.rows(bounds)[1] < o.hard_clip)
+    seq, n = flat.strings(codes, bounds), np.diff(bounds)
+    count = lambda which: np.diff(np.concatenate([[0], np.cumsum(which)])[bounds])
+    fate = [(count(flat.TWO_BITS[codes] > 3) > 0, "alphabet")]
+    if o.most_low_quality >= 0:
+        fate.append((count(values <= 3) > o.most_low_quality, "quality"))
+    if o.dust is not None:
+        fate.append((kernels._dust(seq).to_numpy(zero_copy_only=False) >= o.dust, "dust"))
+    if o.gc:
+        share = count((codes == ord("G")) | (codes == ord("C"))) / np.maximum(n, 1)
+        fate.append(((n == 0) | (share < o.gc[0]) | (share > o.gc[1]), "gc"))
+    if o.primer:
+        heads = {p[i:j] for p in dna.PRIMERS for i in range(len(p)) for j in range(i, min(len(p), i + 14) + 1)}
+        fate.append((pc.is_in(pc.utf8_slice_codeunits(seq, 0, 14), pa.array(sorted(heads))).to_numpy(zero_copy_only=False), "primer"))
+    fate.append((n < o.least_length, "length"))
+    which = np.select([bad for bad, _ in fate], range(len(fate)), len(fate))
+    return seq, pa.array([name for _, name in fate] + ["kept"]).take(pa.array(which))
+
+
+def pair_counts(doc_pair: pa.Array, fate: pa.Array) -> list[pa.Array]:
+    """pair_id, mates, kept of reads in a row that are of one pair; parts of what ``summed_pairs`` adds up."""
+    key, valid = pc.fill_null(doc_pair, 0).to_numpy(zero_copy_only=False), doc_pair.is_valid().to_numpy(zero_copy_only=False)
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (valid[1:] != valid[:-1])]))
+    kept = pc.equal(fate, "kept").to_numpy(zero_copy_only=False).astype(np.int64)
+    return [pa.array(key[edge], mask=~valid[edge]), pa.array(np.diff(np.append(edge, len(key)))), pa.array(np.add.reduceat(kept, edge))]
+
+
 def counters(processed: DataFrame) -> DataFrame:
     """fate, reads, bases."""
     return processed.groupBy("fate").agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"))
@@ -67,7 +117,15 @@ def counters(processed: DataFrame) -> DataFrame:
 
 def pairs(processed: DataFrame) -> DataFrame:
     """pair_id, mates, kept: what becomes of pairs. Both kept: paired; one: orphan; none: dropped. Needs pair_id."""
-    found = processed.groupBy("pair_id").agg(F.count("*").alias("mates"), F.count_if(F.col("fate") == "kept").alias("kept"))
+    return _with_outcome(processed.groupBy("pair_id").agg(F.count("*").alias("mates"), F.count_if(F.col("fate") == "kept").alias("kept")))
+
+
+def summed_pairs(counts: DataFrame) -> DataFrame:
+    """``pairs`` of counts (pair_id, mates, kept) of some reads of a pair each."""
+    return _with_outcome(counts.groupBy("pair_id").agg(F.sum("mates").alias("mates"), F.sum("kept").alias("kept")))
+
+
+def _with_outcome(found: DataFrame) -> DataFrame:
     return found.withColumn("outcome", F.when((F.col("mates") == 2) & (F.col("kept") == 2), "paired").when(F.col("kept") >= 1, "orphan").otherwise("dropped"))
 
 

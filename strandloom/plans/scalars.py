@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, kernels
-from strandloom.operators import preprocess as P, reads as R
+from strandloom.operators import preprocess as P, reads as R, windows as W
 from strandloom.plans.base import READS, ctes, documents, query, rc, table, tiles
 from strandloom.sources import records
 from strandloom.streaming import lookup
@@ -80,8 +82,11 @@ def adapter_trim(spark, sf_dir):
 SELECT id, CAST(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(s, CAST(i AS INTEGER), 1) <> substr(t, CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) AS INTEGER) AS differences,
   array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(s, CAST(i AS INTEGER), 1) = substr(t, CAST(i AS INTEGER), 1) THEN '.' ELSE substr(t, CAST(i AS INTEGER), 1) END), '') AS marks FROM h""")
 def hamming_difference(spark, sf_dir):
-    rows = R.neighbours(documents(spark, sf_dir), 50)
-    return rows.select("id", dna.hamming("seq", "next", F.least(F.length("seq"), F.length("next"))).alias("differences"), dna.diff_string("seq", "next").alias("marks"))
+    def of(w: W.Windows) -> list:
+        n = pc.min_element_wise(pc.utf8_length(w.seq), pc.utf8_length(w.next))
+        return [w.id, kernels._hamming(w.seq, w.next, n), kernels._diff_string(w.seq, w.next)]
+
+    return W.neighbours(documents(spark, sf_dir), 50, "id string, differences int, marks string", of)
 
 
 @query("""WITH n AS (SELECT concat(source, '/', doc_id, '/', CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '1' WHEN 3 THEN '2' WHEN 4 THEN 'f' WHEN 5 THEN 'r' ELSE 'x' END) AS id FROM documents)
