@@ -54,8 +54,12 @@ def low_complexity(spark, sf_dir):
 @query(ctes(READS, SCORED) + """, s AS (SELECT id, scores, list_sum(list_transform(scores, lambda x: CASE WHEN x <= 3 THEN 1 ELSE 0 END)) AS low, array_to_string(list_transform(scores, lambda x: chr(CAST(x + 33 AS INTEGER))), '') AS qual FROM scored)
 SELECT id, qual, CAST(low AS INTEGER) AS low, CAST(list_sum(scores) AS INTEGER) AS total, CAST(list_max(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS INTEGER) AS most FROM s""")
 def quality_scores(spark, sf_dir):
-    rows = R.with_scores(tiles(spark, sf_dir)).select("id", "scores", dna.phred_string("scores").alias("qual"))
-    return rows.select("id", "qual", dna.low_quality_bases("scores").alias("low"), kernels.total("scores").alias("total"), F.array_max(dna.phred("qual")).alias("most"))
+    def of(w: W.Windows) -> list:
+        scores = kernels._scores(w.seq)
+        qual = kernels._phred_string(scores, 33, 93)
+        return [w.id, qual, kernels._at_most(scores, 3), kernels._total(scores), kernels._greatest(kernels._phred(qual, 33))]
+
+    return W.told(documents(spark, sf_dir), "id string, qual string, low int, total int, most int", of)
 
 
 @query(ctes(READS, SCORED) + """, e AS (SELECT id, seq, scores, unnest(range(1, length(seq) + 1)) AS i FROM scored),
