@@ -67,7 +67,7 @@ c AS (SELECT id, i, list_sum(list_transform(scores[i:], lambda x: 20 - x)) AS to
 b AS (SELECT id, CASE WHEN max(total) > 0 THEN max(i - 1) FILTER (WHERE total = m) ELSE NULL END AS cut FROM (SELECT *, max(total) OVER (PARTITION BY id) AS m FROM c) GROUP BY id)
 SELECT id, CAST(CASE WHEN scores[-1] < 20 THEN coalesce(cut, length(seq)) ELSE length(seq) END AS INTEGER) AS kept FROM scored JOIN b USING (id)""")
 def soft_clip(spark, sf_dir):
-    return R.with_scores(tiles(spark, sf_dir)).select("id", dna.soft_clip("scores", 20).alias("kept"))
+    return W.told(documents(spark, sf_dir), "id string, kept int", lambda w: [w.id, kernels._soft_clip(kernels._scores(w.seq), 20)])
 
 
 @query(ctes(READS) + f"SELECT id, contains('{dna.PRIMERS[0]}', left(seq, 14)) OR contains('{dna.PRIMERS[1]}', left(seq, 14)) AS primer, contains('{dna.PRIMERS[0]}', left(seq, 4)) OR contains('{dna.PRIMERS[1]}', left(seq, 4)) AS short_hit FROM reads")
