@@ -129,9 +129,11 @@ def log_probabilities(spark, sf_dir):
 @query(ctes(READS, SCORED) + """SELECT id, seq, array_to_string(list_transform(scores, lambda x: chr(CAST(x + 33 AS INTEGER))), '') AS qual FROM scored""")
 def fastq_round_trip(spark, sf_dir):
     """Records rendered as FASTQ and parsed again."""
-    rows = R.with_scores(tiles(spark, sf_dir)).select("id", "seq", dna.phred_string("scores").alias("qual"))
-    text = rows.select(records.record(F.col("id"), F.col("seq"), F.col("qual")).alias("value"))
-    return text.select(F.inline(records._split(F.col("value")))).select("id", "seq", "qual")
+    def of(w: W.Windows) -> list:
+        qual = kernels._phred_string(kernels._scores(w.seq), 33, 93)
+        return list(records.fastq_records(records.fastq_texts(w.id, w.seq, qual)))
+
+    return W.told(documents(spark, sf_dir), "id string, seq string, qual string", of)
 
 
 @query(ctes(READS) + "SELECT id, seq, CAST(ceil(length(seq) / 40.0) AS INTEGER) AS n_lines FROM reads")
