@@ -157,13 +157,17 @@ f AS (SELECT low.*, CASE WHEN NOT regexp_full_match(seq, '[ACGT]*') THEN 'alphab
 OPTIONS = P.Options(adapter=("ACGTTAC", "GATTCAA"), hard_clip=90, most_low_quality=12, dust=3.0, gc=(0.25, 0.7))
 
 
+def _fates(w: W.Windows) -> tuple[pa.Array, pa.Array]:
+    return P.fates(w.seq, kernels._scores(w.seq), OPTIONS)
+
+
 def _processed(spark, sf_dir):
-    return P.process(R.with_scores(tiles(spark, sf_dir)), OPTIONS)
+    return W.told(documents(spark, sf_dir), "id string, seq string, fate string", lambda w: [w.id, *_fates(w)])
 
 
 @query(ctes(READS, SCORED) + PREPROCESS + "SELECT id, seq, fate FROM f")
 def preprocess_reads(spark, sf_dir):
-    return _processed(spark, sf_dir).select("id", "seq", "fate")
+    return _processed(spark, sf_dir)
 
 
 @query(ctes(READS, SCORED) + PREPROCESS + "SELECT fate, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM f GROUP BY 1")
@@ -175,8 +179,11 @@ def preprocess_stats(spark, sf_dir):
 SELECT pair_id, count(*) AS mates, count(*) FILTER (WHERE fate = 'kept') AS kept,
   CASE WHEN count(*) = 2 AND count(*) FILTER (WHERE fate = 'kept') = 2 THEN 'paired' WHEN count(*) FILTER (WHERE fate = 'kept') >= 1 THEN 'orphan' ELSE 'dropped' END AS outcome FROM p GROUP BY 1""")
 def pair_filter(spark, sf_dir):
-    rows = _processed(spark, sf_dir).withColumn("pair_id", F.col("doc_id") * 100_000 + F.floor(F.col("pos") / 100))
-    return P.pairs(rows)
+    def of(w: W.Windows) -> list:
+        pair_id = pc.add(pc.multiply(w.doc_id, 100_000), pa.array(w.pos // 100, pa.int64()))
+        return P.pair_counts(pair_id, _fates(w)[1])
+
+    return P.summed_pairs(W.told(documents(spark, sf_dir), "pair_id long, mates long, kept long", of))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
