@@ -27,11 +27,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.storage import durable
+from strandloom.llm.storage import durable, fresh, split
 
 FOLDS, THRESHOLD, PIECE = 5, 0.3, 1024
-#: Bytes of a dictionary's segment and of a gram, bits of a gram's bucket, segments looked at together, parts of one that differences are told in.
+#: Bytes of a dictionary's segment and of a gram, bits of a gram's bucket, segments looked at together (with BITS, 32 bits at most), parts of one that differences are told in.
 SEGMENT, GRAM, BITS, SOME, STEPS = 256, 8, 18, 4096, 1 << 16
+#: Sums that go to one row of the shuffle.
+SLICE = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -86,9 +88,17 @@ def held_out(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """quality, text, turn (0 to 3) of all labelled rows outside the held-out fold that have a text."""
+    """quality, text, turn (0 to 3) of all labelled rows outside the held-out fold that have a text.
+
+    Labels grow with the documents, so they aren't broadcast at any size: a bit table of
+    their ids (2 MB) is, and texts that pass it are shuffled to an exact join.
+    """
     key = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    found = docs.select("doc_id", "text").filter(F.length("text") > 0).join(key, "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0)
+    slot, *marks = fresh(rows, "slot", "place", "word", "bits")
+    hashed = F.xxhash64(F.col("doc_id").cast("string")).alias(slot)
+    likely = split(rows.select("*", hashed), slot, key.select(hashed), marks)[1]
+    found = likely.select("doc_id", "text").join(key.hint("shuffle_hash"), "doc_id")
     return found.select("quality", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("turn"))
 
 
@@ -116,23 +126,23 @@ def _grams(texts: list[str], ends: bool = False) -> Iterator[tuple]:
     sizes = np.array([len(r) for r in raw], np.int64)
     many = -(-sizes // SEGMENT)
     whole = b"".join(raw) + bytes(GRAM)
+    grams = np.ndarray((len(whole) - GRAM + 1,), np.dtype("<u8"), buffer=whole, strides=(1,))
     of = np.repeat(np.arange(len(raw)), many)
     begin = (np.cumsum(sizes) - sizes)[of] + (np.arange(len(of)) - (np.cumsum(many) - many)[of]) * SEGMENT
     stop = np.minimum(begin + SEGMENT, np.cumsum(sizes)[of])
-    data = np.frombuffer(whole, np.uint8)
     for at in range(0, len(of), SOME):
         one, two = begin[at : at + SOME], stop[at : at + SOME]
         n = np.maximum(two - one - GRAM + 1, 0)
-        segment = np.repeat(np.arange(len(one)), n)
-        windows = np.lib.stride_tricks.sliding_window_view(data, GRAM)
-        place = np.arange(n.sum()) - (np.cumsum(n) - n)[segment] + one[segment]
-        code = windows[place].copy().view(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
-        key = np.unique(segment << BITS | code.astype(np.int64))
+        segment = np.repeat(np.arange(len(one), dtype=np.uint32), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - one, n)
+        code = grams[place] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
+        key = np.sort(segment << np.uint32(BITS) | code.astype(np.uint32))
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]].astype(np.int64)
         yield of[at : at + SOME], whole, *((one, two) if ends else (one,)), key >> BITS, key & (1 << BITS) - 1
 
 
 def _totals(learn: DataFrame, width: int, add: Callable[..., None]) -> np.ndarray:
-    """For each label ``width`` numbers that ``add`` has summed over all segments of all texts."""
+    """For each label ``width`` numbers that ``add`` has summed over all segments of all texts. They go in slices, so that no task adds up whole rows of all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, width), np.int64)
@@ -140,16 +150,17 @@ def _totals(learn: DataFrame, width: int, add: Callable[..., None]) -> np.ndarra
             quality = batch.column("quality").to_numpy()
             for of, _, one, segment, bucket in _grams(batch.column("text").to_pylist()):
                 add(found, quality[of], one, segment, bucket)
-        if found.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["quality", "sums"])
+        cut = [(q, at, found[q, at : at + SLICE]) for q in (0, 1) for at in range(0, width, SLICE)]
+        cut = [c for c in cut if c[2].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.int32()), pa.array([c[2].tobytes() for c in cut], pa.binary())], names=["quality", "at", "sums"])
 
-    def both(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"quality": frame["quality"].iloc[:1], "sums": [sum(np.frombuffer(x, np.int64) for x in frame["sums"]).tobytes()]})
+    def all_of(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[["quality", "at"]].iloc[:1].assign(sums=[sum(np.frombuffer(x, np.int64) for x in frame["sums"]).tobytes()])
 
-    rows = learn.select("quality", "text").mapInArrow(count, "quality int, sums binary")
+    kind = "quality int, at int, sums binary"
     out = np.zeros((2, width), np.int64)
-    for row in rows.groupBy("quality").applyInPandas(both, "quality int, sums binary").collect():  # two rows
-        out[row.quality] = np.frombuffer(row.sums, np.int64)
+    for row in learn.select("quality", "text").mapInArrow(count, kind).groupBy("quality", "at").applyInPandas(all_of, kind).collect():  # 2 x width numbers
+        out[row.quality, row.at : row.at + SLICE] = np.frombuffer(row.sums, np.int64)
     return out
 
 
@@ -176,7 +187,7 @@ def _placed(weights: np.ndarray, slots: int, own: np.ndarray, one: np.ndarray, s
     if len(segment):
         edge = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         weight[segment[edge]] = np.add.reduceat(weights[own[segment], bucket], edge)
-        slot[segment[edge]] = np.minimum.reduceat(_mixed(bucket), edge) % slots
+        slot[segment[edge]] = np.minimum.reduceat(_ORDER[bucket], edge) % slots
     return weight, slot
 
 
@@ -218,6 +229,9 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return (codes * 0x5851F42D + 0x14057B7E) % ((1 << 31) - 1)
 
 
+_ORDER = _mixed(np.arange(1 << BITS))
+
+
 def _points(rows: DataFrame, content: list[bytes], level: int) -> pd.DataFrame:
     """quality, x, n: how many of all rows have a difference of x / ``STEPS``."""
     good, bad = content
