@@ -219,8 +219,17 @@ def leaves(sets: DataFrame) -> DataFrame:
     return _gather(_gather(rows, "lead"), "second").drop("second")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as planes of their bytes, lowest first; those of small numbers are zero and pack to nothing in the shuffle."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _post(parts: int):
-    """Prefixes dealt by shingle: a row for a part and batch with its leaves and their shingles, packed."""
+    """Prefixes dealt by shingle: a row for a part and batch with its leaves and their shingles, packed. With more parts a leaf is told in more of them, so what is told beside its id is kept small."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -238,8 +247,8 @@ def _post(parts: int):
                 a, b = edge[p], edge[p + 1]
                 if a < b:
                     own, count = np.unique(owner[a:b], return_counts=True)
-                    rows.append((p, leaf[own].tobytes(), low[own].astype(np.uint32).tobytes(), high[own].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), token[a:b].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "leaf", "low", "high", "count", "token"])
+                    rows.append((p, leaf[own].tobytes(), _planes(low[own]), _planes(high[own] - low[own]), _planes(count), token[a:b].tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "leaf", "low", "wider", "count", "token"])
 
     return run
 
@@ -252,8 +261,10 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     than 3s/7 - 9h/28 of both prefixes: 28 * shared > 12s - 9h = need.
     """
     get = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
-    leaf, low, high = get("leaf", np.int64), get("low", np.uint32).astype(np.int64), get("high", np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(leaf), dtype=np.int64), get("count", np.uint32))
+    small = lambda c: np.concatenate([_of_planes(x) for x in rows[c]])
+    leaf, low = get("leaf", np.int64), small("low")
+    high = low + small("wider")
+    owner = np.repeat(np.arange(len(leaf), dtype=np.int64), small("count"))
     token = get("token", np.uint32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
@@ -306,7 +317,7 @@ def candidate_pairs(tree: DataFrame, part_tokens: int = 1 << 20) -> DataFrame:
     """Pairs of leaves that may hold linked sets. Parts are as many as the prefixes need at ``part_tokens`` shingles each, whatever the number of shuffle partitions, so that a part stays small and a pair is met in few."""
     total = tree.agg(F.sum(F.length("prefix"))).first()[0] or 0
     parts = max(1, -(-total // (6 * part_tokens)))
-    posted = tree.select("leaf", "low", "high", "prefix").mapInPandas(_post(parts), "part int, leaf binary, low binary, high binary, count binary, token binary")
+    posted = tree.select("leaf", "low", "high", "prefix").mapInPandas(_post(parts), "part int, leaf binary, low binary, wider binary, count binary, token binary")
     met = posted.groupBy("part").applyInPandas(_meet, "a long, b long, shared long, need long")
     met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter(28 * F.col("shared") > F.col("need")).select("a", "b")
     side = lambda c: tree.select(F.col("leaf").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("slack").alias(f"slack_{c}"), F.col("low").alias(f"low_{c}"))

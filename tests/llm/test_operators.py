@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -515,3 +516,27 @@ def test_common_subsequence(a, b):
 @pytest.mark.parametrize("op", [jaccard.join, secrets.scan, pii.replace])
 def test_empty_tables(spark, op):
     assert op(docs(spark, [])).count() == 0
+
+
+def test_posted_leaves_stay_small_in_many_parts():
+    """A leaf took 12 bytes beside its id in every part that it has a shingle in, so the shuffle grew faster than the input."""
+    rng = np.random.default_rng(12)
+    low = rng.integers(20, 200, 500)
+    frame = pd.DataFrame({"leaf": 2 * np.sort(rng.integers(0, 1 << 61, 500)), "low": low, "high": low + (rng.random(500) < 0.1) * 7, "prefix": [jaccard._short(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(500)]})
+    frame.loc[3, ["low", "high", "prefix"]] = 70_000, 70_009, frame["prefix"][2] + frame["prefix"][4]
+    frame["low"], frame["high"] = frame["low"].astype(np.int64), frame["high"].astype(np.int64)
+
+    def posted(parts):
+        rows = pd.concat(jaccard._post(parts)([frame]))
+        return rows, sum(len(pa.compress(b"".join(row[1:]), "lz4_raw", asbytes=True)) for row in rows.to_numpy())  # parts go apart
+
+    (one, _), (many, size) = posted(1), posted(64)
+    entries = sum(len(x) // 8 for x in many["leaf"])
+    assert size < entries * 11 + 4 * sum(len(x) // 6 for x in frame["prefix"])
+    got = lambda rows: pd.concat([jaccard._meet(r) for _, r in rows.groupby("part")]).groupby(["a", "b"]).agg(shared=("shared", "sum"), need=("need", "max"))
+    sets = {k: set(jaccard._long(p).tolist()) for k, p in zip(frame["leaf"], frame["prefix"])}
+    assert got(one).equals(got(many))
+    near = frame.drop(3)
+    more = pd.concat([near, near.iloc[:50].assign(leaf=near["leaf"].iloc[:50] + 1)])
+    met = pd.concat([jaccard._meet(r) for _, r in pd.concat(jaccard._post(64)([more])).groupby("part")]).groupby(["a", "b"])["shared"].sum()
+    assert met.to_dict() == {(k, k + 1): len(sets[k]) for k in near["leaf"].iloc[:50]}
